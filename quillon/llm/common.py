@@ -68,7 +68,8 @@ def ascii_lower(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """Words parted by ASCII white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), BLANK + "+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK + "+"))
 
 
 def let(value: Column, body) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import url_filter
+from pyspark.sql import functions as F
+
+from quillon.llm import chat_format, quality_rules, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -18,9 +20,48 @@ def op7_url_template_tree(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op3_schema_fingerprint_chat(spark, sf_dir):
+    turns = chat_format.turns_of_table(table(spark, sf_dir, "conversations"))
+    probe = spark.range(2).select(
+        F.lit(PROBE_ID).cast("bigint").alias("id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text")
+    )
+    return chat_format.digests(chat_format.format_turns(turns.unionByName(probe)))
+
+
+def op8_ngram_likelihood_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    ratios = quality_rules.log_ratios(docs, trusted)
+    return quality_rules.judge_documents(docs, ratios)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), said AS (
+  SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '###', '\h'), ':', '\c') || ': '
+    || replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '###', '\h') || '</turn>' || chr(10) AS piece FROM turns
+), grouped AS (
+  SELECT conv_id, count(*) AS n,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+    sum(length(piece)) AS chars
+  FROM said GROUP BY conv_id
+)
+SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(chars AS BIGINT) AS formatted_chars
+FROM grouped
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_schema_fingerprint_chat": OP3_SQL}
