@@ -24,8 +24,8 @@ SYMBOLS = r"[#*$%&|<>]"
 @dataclass(frozen=True)
 class RatioSettings:
     buckets: int = 10_000
-    smoothing: float = 1.0  # counts added to each bucket
-    threshold: float = -0.05  # mean log ratio, in nats, that a kept document has at least
+    prior: float = 5.0  # n-grams of the corpus' own distribution that each bucket's trusted count starts from
+    threshold: float = -0.06  # mean log ratio, in nats, that a kept document has at least
     broadcast_ids: int = 4_000_000  # up to so many trusted ids are sent to all executors; beyond, ids are joined by a shuffle
 
 
@@ -43,7 +43,8 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, settings: RatioSettings = RatioSettings()) -> list[float]:
     """Log ratio of each bucket, from every document's words.  trusted: one column doc_id, of trusted documents.
 
-    Empty inputs give ratios of zero; a null doc_id is never trusted.
+    Both counts of a bucket are smoothed by as many n-grams of the corpus' distribution, so a bucket that is merely rare
+    has a ratio near 0 and a document doesn't fall for words that it alone has.  Empty inputs give ratios of zero; a null doc_id is never trusted.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
     if ids.limit(settings.broadcast_ids + 1).count() <= settings.broadcast_ids:
@@ -57,11 +58,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, settings: RatioSettings = Ra
     raw, target = [0] * settings.buckets, [0] * settings.buckets
     for row in counts:
         raw[row["b"]], target[row["b"]] = row["n"], row["t"]
-    a, m = settings.smoothing, settings.buckets
-    if not sum(target):
-        return [0.0] * m
-    base = math.log(sum(raw) + a * m) - math.log(sum(target) + a * m)
-    return [math.log(t + a) - math.log(r + a) + base for t, r in zip(target, raw, strict=True)]
+    share, a = sum(target) / max(sum(raw), 1), settings.prior
+    return [math.log((t + a) / (share * r + a)) for t, r in zip(target, raw, strict=True)]
 
 
 def ratio_score(words: Column, ratios: list[float]) -> Column:
