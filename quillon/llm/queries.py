@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, quality_rules, url_filter
+from quillon.llm import chat_format, quality_rules, simhash, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -31,6 +31,11 @@ def op3_schema_fingerprint_chat(spark, sf_dir):
     return chat_format.digests(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op4_golay_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_ngram_likelihood_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").filter("quality = 1")
