@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, quality_rules, simhash, url_filter
+from quillon.llm import chat_format, decontaminate, quality_rules, simhash, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op8_ngram_likelihood_rules(spark, sf_dir):
     return quality_rules.judge_documents(docs, ratios)
 
 
+def op10_positional_index_decontamination(spark, sf_dir):
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -68,5 +72,33 @@ FROM grouped
 """
 
 
+OP10_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+), windows AS (
+  SELECT item_id, w AS words FROM item_words WHERE len(w) BETWEEN 1 AND 9
+  UNION ALL
+  SELECT item_id, w[i + 1 : i + 10] FROM (SELECT item_id, w, unnest(range(0, len(w) - 9)) AS i FROM item_words WHERE len(w) >= 10)
+), distinct_windows AS (SELECT DISTINCT item_id, words, len(words) AS k FROM windows
+), lengths AS (SELECT DISTINCT k FROM distinct_windows
+), doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), runs AS (
+  SELECT doc_id, k, i, w[i + 1 : i + k] AS words
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM doc_words, lengths WHERE len(w) >= k)
+), found AS (SELECT r.doc_id, r.i, r.k, d.item_id FROM runs r JOIN distinct_windows d ON r.words = d.words
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id
+), owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
+  sha256(coalesce(o.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN owners o USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_schema_fingerprint_chat": OP3_SQL}
+    return {"op3_schema_fingerprint_chat": OP3_SQL, "op10_positional_index_decontamination": OP10_SQL}
