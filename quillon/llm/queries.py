@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, quality_rules, simhash, url_filter
+from quillon.llm import chat_format, decontaminate, packing, quality_rules, simhash, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -43,6 +44,10 @@ def op8_ngram_likelihood_rules(spark, sf_dir):
     return quality_rules.judge_documents(docs, ratios)
 
 
+def op9_vector_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_positional_index_decontamination(spark, sf_dir):
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
