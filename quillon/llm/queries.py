@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, packing, quality_gam, quality_rules, simhash, url_filter
+from quillon.llm import chat_format, decontaminate, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -25,6 +25,10 @@ def op7_url_template_tree(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op2_bigru_attention_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
