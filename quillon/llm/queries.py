@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
+from quillon.llm import chat_format, decontaminate, html_extract, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -20,6 +20,11 @@ def op5_pairwise_gam_quality(spark, sf_dir):
     return quality_gam.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_min_cut_main_text(spark, sf_dir):
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op7_url_template_tree(spark, sf_dir):
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")

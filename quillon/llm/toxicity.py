@@ -100,11 +100,12 @@ class Network:
     def inputs(self, rows: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Input vectors of words: word vector, then the mean of the n-gram vectors."""
         there = grams >= 0
-        table = np.vstack([self.p["char"], np.zeros((1, self.settings.char_size), np.float32)])
+        table = self.p["char"]
         n = np.maximum(there.sum(1), 1).astype(np.float32)
         chars = np.empty((len(rows), self.settings.char_size), np.float32)
         for at in range(0, len(rows), 4096):  # bounds the gathered n-gram vectors
-            chars[at : at + 4096] = table[grams[at : at + 4096]].sum(1)
+            part = slice(at, at + 4096)
+            chars[part] = np.einsum("wgc,wg->wc", table[grams[part]], there[part].astype(np.float32))
         return np.hstack([self.p["word"][rows], chars / np.sqrt(n)[:, None]])
 
     def run(self, gates: dict[str, np.ndarray], there: np.ndarray | None, keep: bool = False):
@@ -226,23 +227,25 @@ class Scorer:
         width = 6 * network.settings.hidden
         self.table = np.zeros((1 << 12, width), np.float32)
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        new = list({w for w in words if w not in at})
-        if new:
-            n = len(at)
-            if n and n + len(new) > self.KEPT:
-                at.clear()
-                new, n = list(set(words)), 0
-            while len(self.table) < n + len(new):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            p = self.net.p
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                x = self.net.inputs(*hashed_words(part, self.net.settings))
-                self.table[n + k : n + k + len(part)] = np.hstack([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]])
-            at.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+    def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Table rows of the words of each text.  Rows given out before hold no longer once the table has been emptied."""
+        at, seen = self.at, set().union(*texts)
+        new = [w for w in seen if w not in at]
+        if at and len(at) + len(new) > self.KEPT:
+            at.clear()
+            new = list(seen)
+        n = len(at)
+        if len(self.table) < n + len(new):
+            grown = np.zeros((max(2 * len(self.table), n + len(new)), self.table.shape[1]), np.float32)
+            grown[:n] = self.table[:n]
+            self.table = grown
+        p = self.net.p
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            x = self.net.inputs(*hashed_words(part, self.net.settings))
+            self.table[n + k : n + k + len(part)] = np.hstack([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]])
+        at.update(zip(new, range(n, n + len(new)), strict=True))
+        return [np.fromiter(map(at.__getitem__, words), np.int32, len(words)) for words in texts]
 
     def window_logits(self, index: np.ndarray, there: np.ndarray | None) -> np.ndarray:
         """index: (windows, steps) of table rows."""
@@ -258,47 +261,39 @@ class Scorer:
         """The largest window logit of each text; -inf where there are no words."""
         s = self.net.settings
         best = np.full(len(texts), -np.inf, np.float32)
-        full: list[np.ndarray] = []
-        owner: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            if full:
-                np.maximum.at(best, np.concatenate(owner), self.window_logits(np.concatenate(full), None))
-                full.clear()
-                owner.clear()
-                held = 0
-
-        short, short_owner = [], []
-        steps = np.arange(s.window)
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            if not words:
-                continue
-            if len(words) < s.window:
-                short.append(words)
-                short_owner.append(i)
+        split = [words_of(t) for t in texts]
+        group, size = [], 0
+        for i, words in enumerate(split):
+            group += [i] if words else []
+            size += len(words)
+            if group and (size >= 50_000 or i + 1 == len(split)):
+                self._group(group, [split[k] for k in group], best)
+                group, size = [], 0
+        if group:
+            self._group(group, [split[k] for k in group], best)
+        return best
+
+    def _group(self, owners: list[int], texts: list[list[bytes]], best: np.ndarray) -> None:
+        s, steps = self.net.settings, np.arange(self.net.settings.window)
+        short, full, owner = [], [], []
+        for i, got in zip(owners, self.rows(texts), strict=True):
+            if len(got) < s.window:
+                short.append((i, got))
                 continue
-            if len(self.at) + len(words) > self.KEPT:
-                flush()  # rows may be dealt anew below
-            starts = np.array(window_starts(len(words), s.window, s.step))
-            got = self.rows(words)
+            starts = np.array(window_starts(len(got), s.window, s.step))
             for a in range(0, len(starts), 8192):  # a very long text in parts
-                full.append(got[starts[a : a + 8192, None] + steps].astype(np.int32))
+                full.append(got[starts[a : a + 8192, None] + steps])
                 owner.append(np.full(len(full[-1]), i))
-                held += len(full[-1])
-                if held >= 8192:
-                    flush()
-        flush()
-        for a in range(0, len(short), 2048):
-            part = short[a : a + 2048]
-            flat = self.rows([w for x in part for w in x])
-            index, there, k = np.zeros((len(part), s.window), np.int64), np.zeros((len(part), s.window), bool), 0
-            for j, x in enumerate(part):
-                index[j, : len(x)], there[j, : len(x)], k = flat[k : k + len(x)], True, k + len(x)
-            best[short_owner[a : a + 2048]] = self.window_logits(index, there)
-        return best
+                if len(full[-1]) == 8192:
+                    np.maximum.at(best, np.concatenate(owner), self.window_logits(np.concatenate(full), None))
+                    full, owner = [], []
+        if full:
+            np.maximum.at(best, np.concatenate(owner), self.window_logits(np.concatenate(full), None))
+        if short:
+            index, there = np.zeros((len(short), s.window), np.int32), np.zeros((len(short), s.window), bool)
+            for j, (_, got) in enumerate(short):
+                index[j, : len(got)], there[j, : len(got)] = got, True
+            best[[i for i, _ in short]] = self.window_logits(index, there)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1; 0 for texts without words."""
