@@ -1,11 +1,59 @@
-"""Corpus pipeline: quality, toxicity, near-duplicates, benchmark passages, packing."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, benchmark passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with the columns of docs; the last one gives
+packed pieces.  A stage works on all that the one before it kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, packing, quality_gam, simhash, toxicity
+from quillon.llm.common import bounded, table
+
+GOOD_FROM, TOXIC_FROM = 0.3, 0.7
+BROADCAST_IDS = 4_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is high enough."""
+    model, _ = quality_gam.trained(docs, table(spark, sf_dir, "labels"))
+    return quality_gam.score_texts(docs, model, "_score").filter(F.col("_score") >= GOOD_FROM).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't scored as toxic."""
+    network, _ = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, network, "_score").filter(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return simhash.first_of_each_class(docs, most=BROADCAST_IDS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item.  Rows without an id share their hits and so their fate."""
+    hit = decontaminate.contaminated_ids(docs, table(spark, sf_dir, "benchmark"))
+    ids = bounded(hit.withColumnRenamed("doc_id", "_hit"), BROADCAST_IDS)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_hit"]), "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens with their sequence and place."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", pack)]
+
+#: Trained models, fingerprints and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, stored
+from quillon.llm.common import ascii_lower, bounded, stored
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased; their number is the same.
@@ -33,11 +33,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast where it has no more than so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def windows_of(items: DataFrame, size: int) -> DataFrame:
     """(item_id, words) of each run of so many words; an item with fewer, but not none, is one window."""
     w = F.col("w")
@@ -134,15 +129,25 @@ def item_windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame, Dat
     return words, owners, stored(terms.withColumn("term_id", F.monotonically_increasing_id()), "terms")
 
 
+def matches(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings) -> tuple[DataFrame, DataFrame]:
+    """Places of the items' windows in docs, stored, and the windows' items."""
+    words, owners, vocabulary = item_windows(items, settings.window)
+    index = build_index(docs, vocabulary, settings.broadcast_terms)
+    return stored(phrase_matches(index, words, vocabulary, settings.broadcast_terms), "matches"), owners
+
+
+def contaminated_ids(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
+    """The distinct doc_id of documents with a window of an item."""
+    return matches(docs, items, settings)[0].select("doc_id").distinct()
+
+
 def contamination(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings).
 
     Null texts have no words.  Rows with one doc_id, or with none, count as one document: they share their hits.  Null
     item ids are left out of items.
     """
-    words, owners, vocabulary = item_windows(items, settings.window)
-    index = build_index(docs, vocabulary, settings.broadcast_terms)
-    found = stored(phrase_matches(index, words, vocabulary, settings.broadcast_terms), "matches")
+    found, owners = matches(docs, items, settings)
     hits = found.groupBy("doc_id").agg(covered(F.sort_array(F.collect_set(F.struct("start", "k")))).alias("n_hit"))
     whose = found.select("doc_id", "window_id").distinct().join(bounded(owners, settings.broadcast_terms), "window_id")
     named = whose.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

@@ -15,13 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
-
 FEATURES = ("log_words", "word_length", "symbols", "capitals", "bars", "shouts", "stops", "digits", "blanks", "new_words", "repeated_lines", "line_words")
 
 OTHER, LETTER, CAPITAL, DIGIT, SPACE, LINE, SYMBOL, BAR, SHOUT, STOP, INNER = range(11)
@@ -201,37 +198,51 @@ def fit(x: np.ndarray, y: np.ndarray, s: GamSettings = GamSettings()) -> Gam:
     return model
 
 
-def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and x, the array of FEATURES of text."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def fold(doc_id: Column, parts: int) -> Column:
+    return F.crc32(doc_id.cast("string")) % parts
+
+
+def learn(docs: DataFrame, labels: DataFrame, settings: GamSettings = GamSettings()) -> Gam:
+    """Fits to rows of docs that have a label (doc_id, label); a document with both labels gives both.
+
+    The sample's ids are chosen first, and their number is the setting's, so they are sent to the executors; only features
+    of the sample's texts come back.
+    """
+    marked = labels.filter("label in (0, 1)").select("doc_id", "label").distinct()
+    known = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text"))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, "x"])
-
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, kinds + ", x array<double>")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), flat], ["doc_id", "label", "x"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.select("doc_id", "text").join(few.withColumn("label", F.col("label").cast("int")), "doc_id")
+    rows = chosen.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").orderBy("doc_id", "label", "x").limit(2 * settings.sample).collect()
+    x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r["label"] for r in rows], float), settings)
 
-def fold(doc_id: Column, parts: int) -> Column:
-    return F.crc32(doc_id.cast("string")) % parts
 
+def score_texts(docs: DataFrame, model: Gam, column: str = "score") -> DataFrame:
+    """docs with the score of text in a further column; one of that name is replaced."""
+    kept = [f for f in docs.schema if f.name != column]
+    names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{column}` double"
 
-def learn(featured: DataFrame, labels: DataFrame, settings: GamSettings = GamSettings()) -> Gam:
-    """Fits to featured rows (doc_id, x) that have a label (doc_id, label); a document with both labels gives both."""
-    joined = featured.join(labels.filter("label is not null").select("doc_id", "label").distinct(), "doc_id").select("doc_id", "x", "label")
-    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(settings.sample).collect()
-    x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["label"] for r in rows], float), settings)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model.scores(features(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], [*names, column])
 
+    return docs.select(*names).mapInArrow(run, schema)
 
-def score_column(x: Column, model: Gam) -> Column:
-    @F.pandas_udf("double")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.stack(rows.to_list())) if len(rows) else [], dtype="float64")
 
-    return run(x)
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, settings: GamSettings = GamSettings()) -> tuple[Gam, Column]:
+    """A model of the labels (doc_id, quality) of all folds of ids but one, and whether a row is of that one."""
+    held = F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False))
+    return learn(docs.filter(~held), labels.select("doc_id", F.col("quality").alias("label")), settings), held
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, threshold: float = 0.3, settings: GamSettings = GamSettings()) -> DataFrame:
@@ -240,8 +251,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fol
     Null and empty texts have the features zero and are scored like any other; a null doc_id is never held out and has no
     label; repeated rows get the same score.
     """
-    held = F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False))
-    featured = stored(with_features(docs.select("doc_id", "text")), "features")
-    model = learn(featured.filter(~held), labels.select("doc_id", F.col("quality").alias("label")), settings)
-    scored = featured.select("doc_id", held.alias("held_out"), score_column(F.col("x"), model).alias("score"))
+    model, held = trained(docs, labels, folds, held_fold, settings)
+    scored = score_texts(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import let, words_of
+from quillon.llm.common import bounded, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -47,9 +47,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, settings: RatioSettings = Ra
     has a ratio near 0 and a document doesn't fall for words that it alone has.  Empty inputs give ratios of zero; a null doc_id is never trusted.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    if ids.limit(settings.broadcast_ids + 1).count() <= settings.broadcast_ids:
-        ids = F.broadcast(ids)
-    marked = docs.select("doc_id", "text").join(ids.withColumn("_trusted", F.lit(True)), F.col("doc_id") == F.col("_id"), "left")
+    ids = bounded(ids.withColumn("_trusted", F.lit(True)), settings.broadcast_ids)
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
     counts = (
         marked.select(F.coalesce("_trusted", F.lit(False)).alias("t"), F.explode(ngram_buckets(words_of(F.col("text")), settings.buckets)).alias("b"))
         .groupBy("b").agg(F.count("*").alias("n"), F.count_if("t").alias("t"))

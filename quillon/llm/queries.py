@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, html_extract, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
+from quillon.llm import chat_format, decontaminate, fixity, html_extract, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -30,6 +30,22 @@ def op7_url_template_tree(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def damaged_payload():
+    """What a second replica of the pages holds: some records with another first character, cut in half, or lost."""
+    html, key = F.coalesce("html", F.lit("")), F.col("page_id")
+    return (
+        F.when(key % 97 == 13, F.concat(F.lit("#"), F.substr(html, F.lit(2))))
+        .when(key % 577 == 3, F.substr(html, F.lit(1), F.floor(F.char_length(html) / 2).cast("int")))
+        .when(key % 389 == 7, F.lit(None))
+        .otherwise(html)
+    )
+
+
+def op1_merkle_fixity_audit(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return fixity.audit(fixity.archive_records(pages), fixity.archive_records(pages, damage=damaged_payload()))
+
+
 def op2_bigru_attention_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -118,5 +134,31 @@ FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN owners o USING (doc_id
 """
 
 
+OP1_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    CASE WHEN page_id % 97 = 13 THEN '#' || substr(coalesce(html, ''), 2)
+      WHEN page_id % 577 = 3 THEN substr(coalesce(html, ''), 1, length(coalesce(html, '')) // 2)
+      WHEN page_id % 389 = 7 THEN NULL ELSE coalesce(html, '') END AS found
+  FROM pages
+), records AS (
+  SELECT page_id, page_id // 256 AS archive,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, found
+  FROM payloads
+), whole AS (
+  SELECT page_id, archive, head || strlen(html) || gap || html || gap AS a, head || strlen(found) || gap || found || gap AS b FROM records
+), placed AS (
+  SELECT *, coalesce(sum(strlen(a)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM whole
+)
+SELECT archive, CAST(place AS BIGINT) AS "offset", page_id AS record_id,
+  CASE WHEN b IS NULL THEN 'missing' WHEN strlen(b) < strlen(a) THEN 'truncated' ELSE 'altered' END AS fault,
+  strlen(a) AS expected_length, coalesce(strlen(b), 0) AS found_length, sha256(a) AS expected_digest,
+  coalesce(sha256(b), '') AS found_digest
+FROM placed WHERE a IS DISTINCT FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_schema_fingerprint_chat": OP3_SQL, "op10_positional_index_decontamination": OP10_SQL}
+    return {"op1_merkle_fixity_audit": OP1_SQL, "op3_schema_fingerprint_chat": OP3_SQL, "op10_positional_index_decontamination": OP10_SQL}

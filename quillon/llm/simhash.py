@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import bounded, stored
 
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -198,5 +198,19 @@ def near_duplicates(docs: DataFrame, settings: SimHashSettings = SimHashSettings
     return marked.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def first_of_each_class(docs: DataFrame, settings: SimHashSettings = SimHashSettings(), most: int = 4_000_000) -> DataFrame:
+    """docs with one document of each class, that of the least doc_id, and one row of each doc_id.  Rows without an id
+    can't be told apart and all stay."""
+    found = stored(near_duplicates(docs, settings), "found")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(bounded(gone, most), "doc_id", "left_anti").select(*docs.columns)
+    twice = stored(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    ids = bounded(twice, most)
+    once = kept.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once.dropDuplicates(["doc_id"]))
+
+
 def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.quality_gam import fold
@@ -389,8 +389,8 @@ def score_texts(docs: DataFrame, network: Network, column: str = "score") -> Dat
     """docs with the score of text in a further column."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # of the settings' size
     kept = [f for f in docs.schema if f.name != column]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{column}` double"
     names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{column}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -413,12 +413,17 @@ def learn(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSet
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], int), settings)
 
 
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, settings: ToxicSettings = ToxicSettings()) -> tuple[Network, Column]:
+    """A network of the labels (doc_id, toxic) of all folds of ids but one, and whether a row is of that one."""
+    held = F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False))
+    return learn(docs.filter(~held), labels.select("doc_id", F.col("toxic").alias("label")), settings), held
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, settings: ToxicSettings = ToxicSettings()) -> DataFrame:
     """A row per row of docs: doc_id, held_out, score, predicted.  labels: (doc_id, toxic).
 
     Null, empty and blank texts score 0; a null doc_id is never held out and has no label; repeated rows get one score.
     """
-    held = F.coalesce(fold(F.col("doc_id"), folds) == held_fold, F.lit(False))
-    network = learn(docs.filter(~held), labels.select("doc_id", F.col("toxic").alias("label")), settings)
+    network, held = trained(docs, labels, folds, held_fold, settings)
     scored = score_texts(docs.select("doc_id", "text"), network).select("doc_id", held.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
