@@ -54,25 +54,30 @@ class WordTokenizer:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        return [self._joined(words) for words in split]
-
-    def _joined(self, words: list[bytes]) -> bytes:
-        young, old = self.young, self.old
-        missing = {w for w in words if w not in young}
-        new = []
-        for w in missing:
-            if (known := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = known
-        if new:
-            found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-            young.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        out = b"".join([young[w] for w in words])
+        young, old, new = self.young, self.old, []
+        for w in set().union(*split):
+            if w not in young:
+                if (known := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    young[w] = known
+        for at in range(0, len(new), 2000):
+            young.update(self._words(new[at : at + 2000]))
+        out = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > KEPT_WORDS:
             self.young, self.old = {}, young
         return out
 
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words by one call over all of them, which is much faster than one each; a token's place tells its word."""
+        texts = [w.decode("utf-8") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.searchsorted([a for a, _ in found.offsets], starts)
+        cuts = cuts.tolist()
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
+
 
 def tokenizer_at(path: str) -> WordTokenizer:
     if path not in _tokenizers:
