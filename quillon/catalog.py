@@ -165,7 +165,7 @@ def totals_of(model: str, body: dict) -> Callable[[Engine], DataFrame]:
 
 
 use("totals_detail", f'SELECT {total("o_totalprice")} AS "totalPrice", count(*) AS "orderCount", count(*) AS total FROM orders WHERE o_orderstatus = \'O\'')(
-    totals_of("Orders", {"columns": ["orderKey", "totalPrice", "orderCount"], "slice": [cond("status", "=", "O")]})
+    totals_of("Orders", {"columns": ["totalPrice", "orderCount"], "slice": [cond("status", "=", "O")]})
 )
 use("totals_grouped", f"""SELECT CAST(NULL AS VARCHAR) AS status, {total("s")} AS "totalPrice", CAST(sum(n) AS BIGINT) AS "orderCount", {mean("m")} AS mean, max(h) AS most, count(*) AS total FROM (
   SELECT o_orderstatus, {total("o_totalprice")} AS s, count(*) AS n, {mean("o_totalprice")} AS m, max(o_totalprice) AS h FROM orders GROUP BY 1)""")(
@@ -243,9 +243,9 @@ def _(e: Engine) -> DataFrame:
     return e.rows("Orders", {"columns": ["orderKey", "status", "totalPrice"]})
 
 
-@use("mask_phone", "SELECT c_custkey, CASE WHEN length(c_name) > 7 THEN substr(c_name, 1, 3) || '****' || right(c_name, 4) ELSE c_name END AS masked, CAST(c_custkey * 1.0 / 100 AS DECIMAL(18,2)) AS units FROM customer")
+@use("mask_phone", "SELECT c_custkey, CASE WHEN length(c_name) > 7 THEN substr(c_name, 1, 3) || '****' || right(c_name, 4) ELSE c_name END AS masked, c_custkey / 100 AS units FROM customer")
 def _(e: Engine) -> DataFrame:
-    return e.frame_of("customer").select("c_custkey", frames.mask_middle(F.col("c_name"), 3, 4).alias("masked"), frames.cents_to_units(F.col("c_custkey")).alias("units"))
+    return e.frame_of("customer").select("c_custkey", frames.mask_middle(F.col("c_name"), 3, 4).alias("masked"), frames.cents_to_units(F.col("c_custkey")).cast("double").alias("units"))
 
 
 @use("scope_window", "SELECT o_orderkey AS \"orderKey\" FROM orders WHERE o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-06-01'")
@@ -289,9 +289,9 @@ def _(e: Engine) -> DataFrame:
     return frames.semi_join(e.frame_of("documents").select("doc_id", "lang"), e.frame_of("labels"), "doc_id", "doc_id", anti=True)
 
 
-@use("memory_left_join", "SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id")
+@use("memory_left_join", "SELECT d.doc_id, lang, coalesce(quality, 9) AS quality FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id")
 def _(e: Engine) -> DataFrame:
-    return frames.left_join(e.frame_of("documents").select("doc_id", "lang"), e.frame_of("labels"), "doc_id", "doc_id", ["quality"])
+    return frames.left_join(e.frame_of("documents").select("doc_id", "lang"), e.frame_of("labels"), "doc_id", "doc_id", ["quality"]).fillna(9, ["quality"])
 
 
 @use("first_by_column", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
