@@ -107,24 +107,29 @@ def clean_role(role: Column, layout: Layout) -> Column:
     return out.alias("role")
 
 
+def numbered(items: Column, layout: Layout) -> Column:
+    """Turns of an array of messages."""
+    _, role, text = layout.items
+    return F.transform(items, lambda t, i: F.struct(i.cast("bigint").alias("turn"), clean_role(t[role], layout), F.coalesce(t[text], F.lit("")).alias("text")))
+
+
 def turns_of_json(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
     """Canonical turns (id, turn, role, text, layout) of records (id, record: JSON text) of any mixture of layouts.
 
     Each record's fingerprint is that of the known paths it has.  A record that isn't JSON or that no layout fits keeps one
     row with layout, turn, role and text null, so it can be counted and looked at.
     """
+    layouts = [x for x in layouts if not x.rows]
     at = lambda p: "$." + p.replace("[]", "[0]")
     v = F.col("v")
     has = [F.when(F.try_variant_get(v, at(p), "variant").isNotNull(), F.lit(p)) for p in known_paths(layouts)]
     parsed = records.select("id", F.try_parse_json("record").alias("v")).withColumn("fp", F.xxhash64(F.array_join(F.filter(F.array(*has), lambda p: p.isNotNull()), ",")))
     made, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for x in layouts:
-        if x.rows:
-            continue
         if x.items:
             path, role, text = x.items
             got = F.try_variant_get(v, at(path), f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(got, lambda t, i, role=role, text=text, x=x: F.struct(i.cast("bigint").alias("turn"), clean_role(t[role], x), F.coalesce(t[text], F.lit("")).alias("text")))
+            turns = numbered(got, x)
         else:
             turns = F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.coalesce(F.try_variant_get(v, at(p), "string"), F.lit("")).alias("text")) for i, (r, p) in enumerate(x.fields)])
         fits = F.col("fp") == fingerprint(x.paths)

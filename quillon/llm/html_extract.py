@@ -40,7 +40,9 @@ BAD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "pr
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+UNSHOWN = re.compile(r"aria-hidden\s*=\s*[\"']?true|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 NAME = re.compile(r"[a-z]+")
 
 
@@ -63,6 +65,10 @@ def attribute_names(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def is_hidden(attributes: str) -> bool:
+    return bool(attributes) and (bool(HIDDEN.search(QUOTED.sub("", attributes))) or bool(UNSHOWN.search(attributes)))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Blocks with text, in page order; tolerant of unclosed and stray tags."""
     page = page or ""
@@ -116,7 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if name == "head":
             continue
-        if not closing and name not in EMPTY and (name in UNSEEN or HIDDEN.search(m[3])):
+        if not closing and name not in EMPTY and (name in UNSEEN or is_hidden(m[3])):
             if name in BLOCKS:
                 end_block()
             skip.append(name)
