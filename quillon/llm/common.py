@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back; compact where checkpoint() isn't.  Removed at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # codecs that use direct buffers hold them until a collection
     if not _written:
         atexit.register(remove_stored)
     _written.append((spark, path))

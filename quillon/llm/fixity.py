@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import bounded, stored
 
 FANOUT_BITS = 4
 
@@ -24,6 +24,7 @@ FANOUT_BITS = 4
 class FixitySettings:
     range_bytes: int = 1 << 16
     records_per_archive: int = 256  # of written archives
+    broadcast_nodes: int = 1_000_000  # up to so many differing nodes are sent to every executor; beyond, joined by a shuffle
 
 
 def record_text(page_id: Column, url: Column, payload: Column) -> Column:
@@ -62,14 +63,17 @@ def digest_of(parts: Column) -> Column:
 
 
 def tree_levels(records: DataFrame, levels: int, settings: FixitySettings = FixitySettings()) -> list[DataFrame]:
-    """Nodes (archive, node, hash) of each level from 1 on; the last holds one root per archive."""
+    """Nodes (side, archive, node, hash) of each level from 1 on; the last holds one root per archive and side.
+
+    records: those of all replicas, told apart by side.
+    """
     place = F.floor(F.col("offset") / settings.range_bytes).cast("bigint")
     leaf = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), F.col("length").cast("string"), F.col("digest"))
-    level = stored(records.groupBy("archive", place.alias("node")).agg(digest_of(leaf).alias("hash")), "ranges")
+    level = stored(records.groupBy("side", "archive", place.alias("node")).agg(digest_of(leaf).alias("hash")), "ranges")
     out = [level]
     for _ in range(levels - 1):
         child = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), F.col("hash"))
-        level = stored(level.groupBy("archive", F.shiftright("node", FANOUT_BITS).alias("up")).agg(digest_of(child).alias("hash")).withColumnRenamed("up", "node"), "level")
+        level = stored(level.groupBy("side", "archive", F.shiftright("node", FANOUT_BITS).alias("up")).agg(digest_of(child).alias("hash")).withColumnRenamed("up", "node"), "level")
         out.append(level)
     return out
 
@@ -82,42 +86,37 @@ def levels_needed(last_offset: int, settings: FixitySettings = FixitySettings())
     return levels
 
 
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(archive, node) that only one side has or whose hashes differ."""
-    both = a.select("archive", "node", F.col("hash").alias("ha")).join(b.select("archive", "node", F.col("hash").alias("hb")), ["archive", "node"], "full_outer")
-    return both.filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("archive", "node")
+def of_side(side: int, value: Column) -> Column:
+    return F.when(F.col("side") == side, value)
+
+
+def differing(level: DataFrame) -> DataFrame:
+    """(archive, node) that only one side has or whose hashes differ: by one aggregation with a partial one before it."""
+    both = level.groupBy("archive", "node").agg(*[F.max(of_side(k, F.col("hash"))).alias(n) for k, n in enumerate("ab")])
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("archive", "node")
 
 
 def audit(first: DataFrame, second: DataFrame, settings: FixitySettings = FixitySettings()) -> DataFrame:
     """Records that differ between two replicas: archive, offset, record_id, fault, expected_*, found_*.
 
     fault: missing (the second lacks it), extra (the first does), truncated (it is shorter), altered.  Of several records
-    at one offset each is compared with those of its record_id.  What a side lacks has length 0 and an empty digest.  Equal or empty replicas give no rows.
+    at one offset each is compared with those of its record_id.  What a side lacks has length 0 and an empty digest.  Equal
+    or empty replicas give no rows.
     """
-    first, second = stored(first, "first"), stored(second, "second")
-    last = first.select("offset").unionByName(second.select("offset")).agg(F.max("offset")).first()[0]
-    levels = levels_needed(last or 0, settings)
-    trees = tree_levels(first, levels, settings), tree_levels(second, levels, settings)
-    wrong = differing(trees[0][-1], trees[1][-1])
-    for level in range(levels - 2, -1, -1):
-        inside = [t[level].withColumn("up", F.shiftright("node", FANOUT_BITS)) for t in trees]
-        parents = stored(wrong.select("archive", F.col("node").alias("up")), "wrong")
-        wrong = differing(*[x.join(parents, ["archive", "up"], "left_semi") for x in inside])
-    ranges = stored(wrong, "wrong").withColumnRenamed("node", "range")
-
-    def of(side: DataFrame, name: str) -> DataFrame:
-        within = side.withColumn("range", F.floor(F.col("offset") / settings.range_bytes).cast("bigint")).join(ranges, ["archive", "range"], "left_semi")
-        return within.groupBy("archive", "offset", "record_id").agg(F.max("length").alias(f"{name}_length"), F.array_join(F.sort_array(F.collect_list("digest")), ",").alias(f"{name}_digest"))
-
-    a, b = of(first, "expected"), of(second, "found")
-    same = (a["archive"] == b["archive"]) & (a["offset"] == b["offset"]) & a["record_id"].eqNullSafe(b["record_id"])
-    pairs = a.join(b, same, "full_outer").filter(~F.col("expected_digest").eqNullSafe(F.col("found_digest")))
-    fault = F.when(F.col("found_digest").isNull(), "missing").when(F.col("expected_digest").isNull(), "extra").when(F.col("found_length") < F.col("expected_length"), "truncated").otherwise("altered")
-    return pairs.select(
-        F.coalesce(a["archive"], b["archive"]).alias("archive"),
-        F.coalesce(a["offset"], b["offset"]).alias("offset"),
-        F.coalesce(a["record_id"], b["record_id"]).alias("record_id"),
-        fault.alias("fault"),
-        *[F.coalesce(f"{x}_length", F.lit(0).cast("bigint")).alias(f"{x}_length") for x in ("expected", "found")],
-        *[F.coalesce(f"{x}_digest", F.lit("")).alias(f"{x}_digest") for x in ("expected", "found")],
+    columns = ("archive", "offset", "length", "record_id", "digest")
+    records = stored(first.select(F.lit(0).alias("side"), *columns).unionByName(second.select(F.lit(1).alias("side"), *columns)), "records")
+    levels = levels_needed(records.agg(F.max("offset")).first()[0] or 0, settings)
+    tree = tree_levels(records, levels, settings)
+    wrong = differing(tree[-1])
+    for level in reversed(tree[:-1]):
+        parents = bounded(stored(wrong.withColumnRenamed("node", "up"), "wrong"), settings.broadcast_nodes)
+        wrong = differing(level.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(parents, ["archive", "up"], "left_semi"))
+    ranges = bounded(stored(wrong.withColumnRenamed("node", "range"), "wrong"), settings.broadcast_nodes)
+    within = records.withColumn("range", F.floor(F.col("offset") / settings.range_bytes).cast("bigint")).join(ranges, ["archive", "range"], "left_semi")
+    sides = [(0, "expected"), (1, "found")]
+    met = within.groupBy("archive", "offset", "record_id").agg(
+        *[F.coalesce(F.max(of_side(k, F.col("length"))), F.lit(0).cast("bigint")).alias(f"{n}_length") for k, n in sides],
+        *[F.array_join(F.sort_array(F.collect_list(of_side(k, F.col("digest")))), ",").alias(f"{n}_digest") for k, n in sides],
     )
+    fault = F.when(F.col("found_digest") == "", "missing").when(F.col("expected_digest") == "", "extra").when(F.col("found_length") < F.col("expected_length"), "truncated").otherwise("altered")
+    return met.filter("expected_digest <> found_digest").select("archive", "offset", "record_id", fault.alias("fault"), "expected_length", "found_length", "expected_digest", "found_digest")

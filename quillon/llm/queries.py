@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, fixity, html_extract, packing, quality_gam, quality_rules, simhash, toxicity, url_filter
+from quillon.llm import chat_format, decontaminate, fixity, html_extract, packing, quality_gam, quality_rules, simhash, toxicity, url_filter, url_sql
 from quillon.llm.common import table
 
 URL_RULES = [
@@ -161,4 +161,4 @@ FROM placed WHERE a IS DISTINCT FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity_audit": OP1_SQL, "op3_schema_fingerprint_chat": OP3_SQL, "op10_positional_index_decontamination": OP10_SQL}
+    return {"op7_url_template_tree": url_sql.sql_of(URL_RULES), "op1_merkle_fixity_audit": OP1_SQL, "op3_schema_fingerprint_chat": OP3_SQL, "op10_positional_index_decontamination": OP10_SQL}
