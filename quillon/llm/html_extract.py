@@ -36,7 +36,7 @@ TAG_NAMES = ("article", "main", "section", "nav", "header", "footer", "aside", "
 OWN_TAGS = ("p", "h1", "h2", "h3", "li", "div", "td", "pre", "blockquote", "figcaption")
 #: Words of class, id and role attributes: of main text, and of what isn't.
 GOOD_NAMES = ("article", "content", "post", "entry", "main", "story", "body", "text")
-BAD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "respond", "reply", "discussion", "disqus", "sidebar", "side", "widget", "related", "recommended", "popular", "share", "social", "follow", "newsletter", "subscribe", "signup", "login", "search", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead", "copyright", "legal", "disclaimer", "toolbar", "tags", "meta", "byline")
+BAD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "respond", "reply", "discussion", "disqus", "sidebar", "side", "widget", "related", "recommended", "popular", "share", "social", "follow", "newsletter", "subscribe", "signup", "login", "search", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead", "copyright", "legal", "disclaimer", "toolbar", "tags", "meta", "byline", "complementary", "contentinfo")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -175,7 +175,7 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-def written_pages(count: int = 200, seed: int = 11) -> Iterator[tuple[list[Block], np.ndarray]]:
+def written_pages(count: int = 400, seed: int = 11) -> Iterator[tuple[list[Block], np.ndarray]]:
     """Pages with labelled blocks: articles in varied wrappers among menus, notices, adverts, forms and comments."""
     r = np.random.default_rng(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -209,9 +209,12 @@ def written_pages(count: int = 200, seed: int = 11) -> Iterator[tuple[list[Block
     kinds = ("nav", "menu", "aside", "form", "header", "footer", "list", "named", "named", "named")
     for _ in range(count):
         body = [f"<h1>{marked}{phrase()}</h1>"] if r.random() < 0.8 else []
+        bare = r.random() < 0.25  # text in divisions instead of paragraphs
         for _ in range(r.integers(1, 9)):
             shape = r.random()
-            if shape < 0.75:
+            if bare and shape < 0.85:
+                body.append(f"<div>{marked}{prose(r.integers(5, 90))}</div>" if shape < 0.6 else f"{marked}{prose(r.integers(10, 90))}<br><br>{prose(r.integers(3, 60))}")
+            elif shape < 0.75:
                 body.append(f"<p>{marked}{prose(r.integers(1, 90))}</p>")
             elif shape < 0.85:
                 body.append(f"<h2>{marked}{phrase()}</h2><p>{marked}{prose(r.integers(3, 60))}</p>")
@@ -229,8 +232,12 @@ def written_pages(count: int = 200, seed: int = 11) -> Iterator[tuple[list[Block
             inner = f"<main>{inner}</main>"
         elif wrap < 0.8:
             inner = f"<div{attribute(GOOD_NAMES)}>{inner}</div>"
-        elif wrap < 0.9:
+        elif wrap < 0.88:
             inner = f"<section>{inner}</section>"
+        elif wrap < 0.94:
+            inner = f"<table><tr><td{attribute(BAD_NAMES)}>{junk}{phrase()}</td><td>{inner}</td></tr></table>"
+        elif wrap < 0.98:
+            inner = f"<div><div>{inner}</div></div>"
         before = [boilerplate(str(r.choice(kinds))) for _ in range(r.integers(0, 4))]
         after = [boilerplate(str(r.choice(kinds))) for _ in range(r.integers(0, 4))]
         found = blocks_of("<html><body>" + "".join(before) + inner + "".join(after) + "</body></html>")
