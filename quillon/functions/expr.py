@@ -203,6 +203,11 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
 }
 
 
+def register_function(name: str, make: Callable[..., Column]) -> None:
+    """Permits a further function: make gets the arguments' columns (it may wrap a pandas UDF)."""
+    FUNCTIONS[name.upper()] = make
+
+
 def compile_expression(node: Node, resolve: Callable[[str], Column], aggregate: Callable[[str, Column | None], Column] | None = None) -> Column:
     """Column of a tree.  resolve: column of a name.  aggregate: column of an aggregate's name and argument (None: rows);
     without it aggregates are an error, and they are inside aggregates."""

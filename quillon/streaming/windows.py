@@ -25,8 +25,17 @@ def streamed(spark: SparkSession, events: DataFrame, time: str, width: str, keys
     root = files[0].rsplit("/", 1)[0]
     names = sorted({f.rsplit("/", 1)[1] for f in files})
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", names[0] if len(names) == 1 else "*.parquet").parquet(root)
-    name = "windows_" + uuid.uuid4().hex
-    kept = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    query = tumbling(stream, time, width, keys, sums).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{kept}/{name}").trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
+    place = f"{shared.rstrip('/')}/windows-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        """Each batch's result is whole; written again after a failure it is the same."""
+        batch.write.mode("overwrite").parquet(f"{place}/{number}")
+
+    found = tumbling(stream, time, width, keys, sums)
+    query = found.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    last = query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], found.schema)
+    return spark.read.schema(found.schema).parquet(f"{place}/{last['batchId']}")

@@ -57,3 +57,13 @@ def test_inline():
 def test_division_by_zero_is_null(spark):
     row = spark.range(1).select(compile_expression(parse("1 / (id - id)"), F.col).alias("a"), compile_expression(parse("MOD(7, id)"), F.col).alias("b")).first()
     assert row.a is None and row.b is None
+
+
+def test_registered_function(spark):
+    from quillon.functions.expr import FUNCTIONS, register_function
+
+    register_function("twice", lambda c: c * 2)
+    try:
+        assert spark.range(3).select(compile_expression(parse("TWICE(id) + 1"), F.col).alias("x")).agg(F.sum("x")).first()[0] == 9
+    finally:
+        del FUNCTIONS["TWICE"]
