@@ -53,13 +53,13 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds host (A-Z lower-cased) and path.  A url that is null or lacks ``://`` has both empty."""
     at = F.instr(F.col(url), "://")
     rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
-    raw = F.regexp_extract(F.col("_rest"), r"^[^/?#]*", 0)
+    raw = F.regexp_extract(F.col("#rest"), r"^[^/?#]*", 0)
     return (
-        pages.withColumn("_rest", rest)
-        .withColumn("_raw", raw)
-        .withColumn("host", F.translate("_raw", UPPER, UPPER.lower()))
-        .withColumn("path", F.regexp_extract(F.expr("substring(_rest, length(_raw) + 1)"), r"^[^?#]*", 0))
-        .drop("_rest", "_raw")
+        pages.withColumn("#rest", rest)
+        .withColumn("#raw", raw)
+        .withColumn("host", F.translate("#raw", UPPER, UPPER.lower()))
+        .withColumn("path", F.regexp_extract(F.expr("substring(`#rest`, length(`#raw`) + 1)"), r"^[^?#]*", 0))
+        .drop("#rest", "#raw")
     )
 
 
@@ -82,14 +82,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], settings: TreeSettings = Tre
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "template")]
     parsed = with_host_and_path(pages.select(*own), url)
-    judged = parsed.withColumn("_rule", rule_column(rules, F.col("host"), F.col("path"))).withColumn("_shape", F.regexp_replace("path", "[0-9]+", "{n}"))
-    verdicts = template_verdicts(judged.select("host", "_shape", F.col("_rule.action").alias("action")), settings)
-    return (
-        judged.join(verdicts, ["host", "_shape"], "left")
-        .withColumn("rule", F.col("_rule.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_rule.action"), F.when(F.col("rejected"), "block").otherwise("allow")))
-        .select(*own, "host", "path", "rule", "verdict", "template")
-    )
+    judged = parsed.withColumn("#rule", rule_column(rules, F.col("host"), F.col("path"))).withColumn("#shape", F.regexp_replace("path", "[0-9]+", "{n}"))
+    verdicts = template_verdicts(judged.select("host", F.col("#shape").alias("_shape"), F.col("#rule.action").alias("action")), settings)
+    found = verdicts.select(F.col("host").alias("#host"), F.col("_shape").alias("#of"), F.col("template").alias("#template"), F.col("rejected").alias("#rejected"))
+    verdict = F.coalesce(F.col("#rule.action"), F.when(F.col("#rejected"), "block").otherwise("allow"))
+    joined = judged.join(found, (F.col("host") == F.col("#host")) & (F.col("#shape") == F.col("#of")), "left")
+    return joined.select(*own, "host", "path", F.col("#rule.rule").alias("rule"), verdict.alias("verdict"), F.col("#template").alias("template"))
 
 
 def template_verdicts(judged: DataFrame, s: TreeSettings) -> DataFrame:

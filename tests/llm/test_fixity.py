@@ -46,8 +46,10 @@ def test_levels(last, levels):
 
 def test_only_bad_branches_are_read(spark):
     a = fixity.archive_records(pages(spark, ROWS))
-    trees = fixity.tree_levels(a, 2)
-    assert trees[-1].count() == 4 and fixity.differing(trees[-1], trees[-1]).count() == 0
+    both = a.withColumn("side", F.lit(0)).unionByName(a.withColumn("side", F.lit(1)))
+    tree = fixity.tree_levels(both, 2)
+    assert tree[-1].count() == 8 and fixity.differing(tree[-1]).count() == 0
+    assert fixity.differing(tree[-1].filter("side = 0 or archive <> 1")).collect() == [(1, 0)]
 
 
 def test_damage_rule_is_registered():

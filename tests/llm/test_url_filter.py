@@ -65,6 +65,8 @@ def test_similar_branches_merge(spark):
 
 def test_repeats_empty_and_clashing_columns(spark):
     df = pages(spark, ["http://x.net/1"] * 3)
+    more = df.selectExpr("*", "1 AS rejected", "'t' AS template", "2 AS action", "3 AS _shape", "4 AS n")
+    assert U.judge_urls(more, URL_RULES).columns == ["page_id", "url", "rejected", "action", "_shape", "n", "host", "path", "rule", "verdict", "template"]
     got = U.judge_urls(df.union(df), URL_RULES)
     assert got.count() == 6 and got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "template"]
     assert U.judge_urls(df.limit(0), URL_RULES).count() == 0
