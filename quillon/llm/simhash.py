@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -79,16 +80,14 @@ def fingerprint_column(text: Column, settings: SimHashSettings) -> Column:
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """leaders: for each of the 2048 syndromes the one error of weight three or less.  fours: for each syndrome whose
     leader has weight three, the five errors of weight four; else -1."""
-    syndromes = syndrome(np.arange(1 << 23, dtype=np.uint32))
-    weights = np.bitwise_count(np.arange(1 << 23, dtype=np.uint32))
-    leaders = np.zeros(2048, np.uint32)
-    light = np.flatnonzero(weights <= 3)
-    leaders[syndromes[light]] = light
-    fours = np.full((2048, 5), -1, np.int64)
-    heavy = np.flatnonzero(weights == 4)
-    heavy = heavy[np.bitwise_count(leaders[syndromes[heavy]]) == 3]
-    heavy = heavy[np.argsort(syndromes[heavy], kind="stable")].reshape(-1, 5)
-    fours[syndromes[heavy[:, 0]]] = heavy
+    errors = [np.array([sum(1 << b for b in bits) for bits in combinations(range(23), k)], np.uint32) for k in range(5)]
+    leaders, fours = np.zeros(2048, np.uint32), np.full((2048, 5), -1, np.int64)
+    for light in errors[:4]:
+        leaders[syndrome(light)] = light
+    heavy = errors[4]
+    heavy = heavy[np.bitwise_count(leaders[syndrome(heavy)]) == 3]
+    heavy = heavy[np.argsort(syndrome(heavy), kind="stable")].reshape(-1, 5)
+    fours[syndrome(heavy[:, 0])] = heavy
     return leaders, fours
 
 
