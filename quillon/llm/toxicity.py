@@ -5,8 +5,8 @@ window of words from either end; attention weighs their joint states, and the po
 windows of a text are scored, each half overlapping the next; the largest logit, calibrated on documents that the network
 was not trained on, is the document's.
 
-The network learns from whole documents' labels: at first from all windows of toxic documents, then from those that the
-network itself finds the most toxic.  Its sample of labelled rows is bounded; scoring is not bounded by anything.
+The network learns from whole documents' labels: at first from those windows of toxic documents that hold the words which
+speak most for that class, then from those that the network itself finds the most toxic.  Its sample of labelled rows is bounded; scoring is not bounded by anything.
 """
 
 from __future__ import annotations
@@ -37,9 +37,12 @@ class ToxicSettings:
     word_size: int = 12
     char_size: int = 12
     epochs: int = 6
+    least_documents: int = 3  # a table row that fewer training documents touch stays zero: it could only be learned by heart
+    least_steps: int = 700  # small samples are read more often, up to most_epochs
+    most_epochs: int = 40
     batch: int = 256
     rate: float = 0.01
-    top_share: float = 0.25  # of a toxic document's windows, after the first epoch
+    top_share: float = 0.25  # of a toxic document's windows, at first
     calibration: float = 0.2  # of the sample, held back
     seed: int = 7
 
@@ -187,10 +190,10 @@ class Network:
 
 
 class Adam:
-    """Adam; tables get their rows' updates alone."""
+    """Adam; tables get the updates of their learned rows alone."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t = p, rate, 0
+    def __init__(self, p: dict[str, np.ndarray], rate: float, learned: dict[str, np.ndarray]):
+        self.p, self.rate, self.t, self.learned = p, rate, 0, learned
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -199,9 +202,10 @@ class Adam:
         a, b = 1 - 0.9**self.t, 1 - 0.999**self.t
         for k, grad in g.items():
             if isinstance(grad, tuple):
-                rows, back = np.unique(grad[0], return_inverse=True)
+                on = self.learned[k][grad[0]]
+                rows, back = np.unique(grad[0][on], return_inverse=True)
                 total = np.zeros((len(rows), grad[1].shape[1]), np.float32)
-                np.add.at(total, back, grad[1])
+                np.add.at(total, back, grad[1][on])
                 grad, at = total, rows
             else:
                 at = slice(None)
@@ -310,7 +314,7 @@ def train(texts: list[str], labels: np.ndarray, s: ToxicSettings = ToxicSettings
         return net
     r = np.random.default_rng(s.seed)
     number: dict[bytes, int] = {}
-    index, there, owner = [], [], []
+    index, there, owner, texts_words = [], [], [], []
     held_back = np.zeros(len(labels), bool)
     for c in (0, 1):
         mine = np.flatnonzero(labels == c)
@@ -320,6 +324,7 @@ def train(texts: list[str], labels: np.ndarray, s: ToxicSettings = ToxicSettings
         if not words or held_back[i]:
             continue
         ids = np.array([number.setdefault(w, len(number)) for w in words])
+        texts_words.append((int(labels[i]), np.unique(ids)))
         starts = window_starts(len(ids), s.window, s.step)
         if labels[i] == 0 and len(starts) > s.windows_per_clean:
             starts = [starts[k] for k in np.linspace(0, len(starts) - 1, s.windows_per_clean).astype(int)]
@@ -333,7 +338,23 @@ def train(texts: list[str], labels: np.ndarray, s: ToxicSettings = ToxicSettings
         net.scale, net.shift = 0.0, -4.0
         return net
     rows, grams = (np.concatenate(x) for x in zip(*(hashed_words(list(number)[k : k + 4096], s) for k in range(0, len(number), 4096)), strict=True))
-    adam, toxic = Adam(net.p, s.rate), labels[owner] == 1
+    learned, odds = {}, np.full(len(number), -np.inf)
+    for table, of_word in (("word", rows[:, None]), ("char", grams)):
+        touched = np.zeros((2, len(net.p[table]) + 1))  # documents of either class; the last row takes what is no row
+        for label, ids in texts_words:
+            seen = np.zeros(touched.shape[1], bool)
+            seen[of_word[ids].ravel()] = True
+            touched[label] += seen
+        learned[table] = touched.sum(0)[:-1] >= s.least_documents
+        net.p[table][~learned[table]] = 0
+        n = np.bincount([label for label, _ in texts_words], minlength=2)[:, None]
+        share = np.log((touched + 0.5) / (n + 1))
+        share[:, -1] = 0
+        for at in range(0, len(odds), 4096):
+            odds[at : at + 4096] = np.maximum(odds[at : at + 4096], (share[1] - share[0])[of_word[at : at + 4096]].max(1))
+    # where the network starts from: the windows with the word that speaks most for its document's class
+    first = np.where(there, odds[index], -np.inf).max(1)
+    adam, toxic = Adam(net.p, s.rate, learned), labels[owner] == 1
 
     def logits_of_all() -> np.ndarray:
         x = net.inputs(rows, grams)
@@ -343,17 +364,17 @@ def train(texts: list[str], labels: np.ndarray, s: ToxicSettings = ToxicSettings
             out[a : a + 2048] = net.run({w: xs @ net.p[f"W{w}"] + net.p[f"b{w}"] for w in "fb"}, there[a : a + 2048].T)
         return out
 
-    for epoch in range(s.epochs):
-        adam.rate = s.rate * (1 - epoch / s.epochs * 0.8)
-        use = np.ones(len(index), bool)
-        if epoch:
-            z = logits_of_all()
-            use = ~toxic
-            order = np.lexsort((-z, owner))
-            at = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
-            place = np.arange(len(order)) - np.repeat(at, np.diff(np.r_[at, len(order)]))
-            count = np.bincount(owner, minlength=len(labels))
-            use[order[place < np.maximum(1, s.top_share / epoch * count[owner[order]])]] = True
+    epochs = min(max(s.epochs, -(-s.least_steps * s.batch // len(index))), max(s.epochs, s.most_epochs))
+    for epoch in range(epochs):
+        done = epoch / epochs
+        adam.rate = s.rate * (1 - done * 0.8)
+        z = logits_of_all() if epoch else first
+        use = ~toxic
+        order = np.lexsort((-z, owner))
+        at = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
+        place = np.arange(len(order)) - np.repeat(at, np.diff(np.r_[at, len(order)]))
+        count = np.bincount(owner, minlength=len(labels))
+        use[order[place < np.maximum(1, s.top_share / (1 + 5 * done) * count[owner[order]])]] = True
         chosen = r.permutation(np.flatnonzero(use))
         positive = toxic[chosen].mean()
         for a in range(0, len(chosen), s.batch):
