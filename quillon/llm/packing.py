@@ -35,7 +35,7 @@ class PackSettings:
 
 
 #: Words whose ids a worker keeps; two generations of them, so memory is bounded and frequent words stay.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 450_000
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 

@@ -224,7 +224,7 @@ def window_starts(n: int, window: int, step: int) -> list[int]:
 class Scorer:
     """Scores texts with a trained network; keeps the input part of the gates of words it has seen, in bounded memory."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, network: Network):
         self.net, self.at = network, {}
