@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, packing, quality_gam, simhash, toxicity
+from quillon.llm import decontaminate, near_copies, packing, quality_gam, toxicity
 from quillon.llm.common import bounded, table
 
 GOOD_FROM, TOXIC_FROM = 0.3, 0.7
@@ -30,8 +30,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.first_of_each_class(docs, most=BROADCAST_IDS)
+    """One document of each class of near-duplicates: texts whose runs of five words have a Jaccard similarity of 0.8 or more."""
+    return near_copies.first_of_each_class(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
