@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded, stored
-from quillon.llm.simhash import components, shingle_hashes
+from quillon.llm.simhash import components, first_rows, shingle_hashes
 
 
 @dataclass(frozen=True)
@@ -164,11 +164,5 @@ def first_of_each_class(docs: DataFrame, settings: CopySettings = CopySettings()
     """
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), mark_column(F.col("text"), settings).alias("m"))
     rows = stored(marked.select("doc", "row", "m.*"), "rows")  # from here on a row's number is fixed
-    own = F.when(F.col("doc.doc_id").isNotNull(), F.struct("doc.doc_id", "row"))
-    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(own).alias("first"), F.count(own).alias("size")), "nodes")
-    roots = components(linked_nodes(rows, nodes, settings, most)).withColumnRenamed("root", "found")
-    placed = nodes.select("node", "first", "size").join(roots, "node", "left").select("node", "first", "size", F.coalesce("found", "node").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("size").alias("size")).filter("size > 1")
-    stays = stored(placed.select("node", "root").join(classes, "root").select("node", F.col("first.row").alias("stay")), "stays")
-    judged = rows.select("doc", "row", "node").join(bounded(stays, most), "node", "left")
-    return judged.filter("doc.doc_id is null or stay is null or row = stay").select("doc.*")
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    return first_rows(rows, components(linked_nodes(rows, nodes, settings, most)), most)

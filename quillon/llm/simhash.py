@@ -198,17 +198,24 @@ def near_duplicates(docs: DataFrame, settings: SimHashSettings = SimHashSettings
 
 
 def first_of_each_class(docs: DataFrame, settings: SimHashSettings = SimHashSettings(), most: int = 4_000_000) -> DataFrame:
-    """docs with one document of each class, that of the least doc_id, and one row of each doc_id.  Rows without an id
-    can't be told apart and all stay."""
-    found = stored(near_duplicates(docs, settings), "found")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(bounded(gone, most), "doc_id", "left_anti").select(*docs.columns)
-    twice = stored(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    ids = bounded(twice, most)
-    once = kept.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(once.dropDuplicates(["doc_id"]))
+    """docs with one row of each class, that of the least doc_id.  Each row is judged by its own fingerprint, and goes only if
+    another row of its class stays.  Rows without an id can't be told apart and all stay."""
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint_column(F.col("text"), settings).alias("node"))
+    rows = stored(marked, "rows")  # from here on a row's number is fixed
+    roots = components(linked_prints(rows.select(F.col("node").alias("fp")).distinct(), settings))
+    return first_rows(rows, roots, most)
+
+
+def first_rows(rows: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """The documents of rows (doc, row, node) with one row, that of the least doc_id, of each class (node, root)."""
+    own = F.when(F.col("doc.doc_id").isNotNull(), F.struct("doc.doc_id", "row"))
+    nodes = rows.groupBy("node").agg(F.min(own).alias("first"), F.count(own).alias("size"))
+    placed = nodes.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "first", "size", F.coalesce("found", "node").alias("root"))
+    placed = stored(placed, "placed")
+    classes = placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("size").alias("size")).filter("size > 1")
+    stays = stored(placed.select("node", "root").join(classes, "root").select("node", F.col("first.row").alias("stay")), "stays")
+    judged = rows.select("doc", "row", "node").join(bounded(stays, most), "node", "left")
+    return judged.filter("doc.doc_id is null or stay is null or row = stay").select("doc.*")
 
 
 def hex_print(fp: Column) -> Column:

@@ -114,3 +114,11 @@ def test_first_of_each_class(spark, prose):
     kept = S.first_of_each_class(frame(spark, rows))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 5, 6, None]
     assert kept.columns == frame(spark, rows).columns
+
+
+def test_first_of_each_class_judges_rows_not_ids(spark, prose):
+    a, b = prose(100, 1), prose(100, 2)
+    kept = S.first_of_each_class(frame(spark, [(2, a), (2, b), (1, b)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, b), (2, a)]
+    kept = S.first_of_each_class(frame(spark, [(2, a), (2, b), (2, b)]))
+    assert sorted(r.text for r in kept.collect()) == sorted([a, b])
