@@ -220,7 +220,9 @@ def learn(docs: DataFrame, labels: DataFrame, settings: GamSettings = GamSetting
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.select("doc_id", "text").join(few.withColumn("label", F.col("label").cast("int")), "doc_id")
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").orderBy("doc_id", "label", "x").limit(2 * settings.sample).collect()
+    found = chosen.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>")
+    # a repeated id gives one row to each of its labels, so its copies can't crowd out other ids
+    rows = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id", "label").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in rows], float), settings)
 

@@ -430,7 +430,8 @@ def learn(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSet
     take = F.xxhash64("doc_id")
     ids = [marked.filter(F.col("label") == c).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(take, "doc_id").limit(n) for c, n in ((0, settings.sample_clean), (1, settings.sample_toxic))]
     few = F.broadcast(ids[0].unionByName(ids[1]))  # of the sample's size
-    rows = docs.select("doc_id", "text").join(few, "doc_id").orderBy("doc_id", "label", "text").limit(4 * (settings.sample_clean + settings.sample_toxic)).collect()
+    # a repeated id gives one row to each of its labels, so its copies can't crowd out other ids
+    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id", "label").collect()
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows], int), settings)
 
 

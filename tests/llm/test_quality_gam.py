@@ -72,3 +72,10 @@ def test_empty_tables(spark):
     docs = frame(spark, [(1, "a")])
     marks = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert G.score_documents(docs, marks).count() == 1 and G.score_documents(docs.limit(0), marks).count() == 0
+
+
+def test_copies_of_one_id_crowd_out_no_other(spark, prose, monkeypatch):
+    rows = [(0, prose(20, i)) for i in range(60)] + [(i, prose(20, 100 + i)) for i in (1, 8, 9)]
+    marks = spark.createDataFrame([(0, 0), (1, 0), (8, 1), (9, 1)], "doc_id bigint, label int")
+    monkeypatch.setattr(G, "fit", lambda x, y, settings: y.tolist())
+    assert G.learn(frame(spark, rows), marks, G.GamSettings(sample=4)) == [0, 0, 1, 1]

@@ -104,3 +104,11 @@ def test_documents(spark, prose, odd_texts):
     held = [g for g in got if g.held_out and g.doc_id < 300 and g.doc_id != 1]
     assert np.mean([g.predicted == planted_rows[g.doc_id][1] for g in held]) > 0.85
     assert X.score_documents(frame(spark, rows[:2]).limit(0), marks, settings=SMALL).count() == 0
+
+
+def test_copies_of_one_id_crowd_out_no_other(spark, monkeypatch):
+    rows = [(0, f"clean {i}") for i in range(60)] + [(1, "clean"), (8, "toxic"), (9, "toxic too")]
+    marks = spark.createDataFrame([(0, 0), (1, 0), (8, 1), (9, 1)], "doc_id bigint, label int")
+    monkeypatch.setattr(X, "train", lambda texts, labels, settings: (texts, labels.tolist()))
+    texts, labels = X.learn(frame(spark, rows), marks, X.ToxicSettings(sample_clean=2, sample_toxic=2))
+    assert labels == [0, 0, 1, 1] and texts[1:] == ["clean", "toxic", "toxic too"]
