@@ -68,6 +68,7 @@ ask("exclude_columns", "Documents", {"exColumns": ["source", "count", "nChars",
 ask("view_model", "BigOrders", {"columns": ["custKey", "totalPrice"], "groupBy": ["custKey"]}, f'SELECT o_custkey AS "custKey", {total("o_totalprice")} AS "totalPrice" FROM orders WHERE o_totalprice > 200000 GROUP BY 1')
 ask("distinct_rows", "Orders", {"columns": ["status", "priority"], "distinct": True}, "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders")
 ask("dimension_expands", "Orders", {"columns": ["orderKey", "customer"], "slice": [cond("orderKey", "<", 500)]}, f'SELECT o_orderkey AS "orderKey", o_custkey AS "customer$id", c_name AS "customer$caption" FROM {OC} WHERE o_orderkey < 500')
+ask("dimension_expands_whole", "Orders", {"columns": ["orderKey", "customer"]}, f'SELECT o_orderkey AS "orderKey", o_custkey AS "customer$id", c_name AS "customer$caption" FROM {OC}')
 ask("key_only_dimension", "Events", {"columns": ["user$id", "eventCount"], "groupBy": ["user$id"]}, 'SELECT user_id AS "user$id", count(*) AS "eventCount" FROM events GROUP BY 1')
 
 # -- joins
@@ -138,6 +139,7 @@ ask("agg_minmax", "Orders", {"columns": ["status", "min(totalPrice) as least", "
 ask("agg_group_concat", "Orders", {"columns": ["customer$id", "group_concat(orderKey) as keys"]}, """SELECT o_custkey AS "customer$id", string_agg(k, ',' ORDER BY k COLLATE "C") AS keys FROM (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) GROUP BY 1""".replace(' COLLATE "C"', ""))
 ask("agg_override", "Orders", {"columns": ["status", "totalPrice"], "groupBy": [{"field": "status"}, {"field": "totalPrice", "agg": "AVG"}]}, f'SELECT o_orderstatus AS status, {mean("o_totalprice")} AS "totalPrice" FROM orders GROUP BY 1')
 ask("agg_none_is_key", "Orders", {"columns": ["totalPrice", "orderCount"], "groupBy": [{"field": "totalPrice", "agg": "NONE"}], "slice": [cond("orderKey", "<", 2000)]}, 'SELECT o_totalprice AS "totalPrice", count(*) AS "orderCount" FROM orders WHERE o_orderkey < 2000 GROUP BY 1')
+ask("agg_none_is_key_whole", "Orders", {"columns": ["totalPrice", "orderCount"], "groupBy": [{"field": "totalPrice", "agg": "NONE"}]}, 'SELECT o_totalprice AS "totalPrice", count(*) AS "orderCount" FROM orders GROUP BY 1')
 ask("agg_pk_is_key", "Orders", {"columns": ["orderKey", "orderCount"], "groupBy": [{"field": "orderKey", "agg": "PK"}]}, 'SELECT o_orderkey AS "orderKey", count(*) AS "orderCount" FROM orders GROUP BY 1')
 ask("agg_auto_group", "LineItem", {"columns": ["returnFlag", "sum(quantity) as total"]}, f'SELECT l_returnflag AS "returnFlag", {total("l_quantity")} AS total FROM lineitem GROUP BY 1')
 ask("agg_default_measure", "LineItem", {"columns": ["returnFlag", "quantity", "extendedPrice", "discount", "netAmount", "lineCount"], "groupBy": ["returnFlag"]},
@@ -194,6 +196,7 @@ ask("expr_inline", "Orders", {"columns": ["orderKey", "totalPrice * 1.5 as more"
 ask("expr_json", "Events", {"columns": ["propK", "eventCount"], "groupBy": ["propK"]}, """SELECT json_extract_string(props, '$.k') AS "propK", count(*) AS "eventCount" FROM events GROUP BY 1""")
 ask("expr_year_group", "Orders", {"columns": ["YEAR(orderDate) as y", "sum(totalPrice) as spent"]}, f"SELECT CAST(year(o_orderdate) AS INTEGER) AS y, {total('o_totalprice')} AS spent FROM orders GROUP BY 1")
 ask("expr_now", "Orders", {"columns": ["orderKey", "NOW() as at"], "slice": [cond("orderKey", "<", 100)]}, None)
+ask("expr_now_whole", "Orders", {"columns": ["orderKey", "NOW() as at"]}, None)
 
 # -- hierarchies
 TREE = """places AS (SELECT 'W' AS id, 'WORLD' AS name, NULL AS up UNION ALL SELECT 'R' || r_regionkey, r_name, 'W' FROM region UNION ALL SELECT 'N' || n_nationkey, n_name, 'R' || n_regionkey FROM nation),

@@ -46,3 +46,9 @@ def test_query(spark, sf_dir, duck, key):
 
 def test_flagship(spark, sf_dir):
     assert catalog.flagship(spark, sf_dir).columns == ["order_customer_nation$caption", "revenue", "n"]
+
+
+@pytest.mark.parametrize("key", ["dimension_expands_whole", "agg_none_is_key_whole", "expr_now_whole"])
+def test_whole_table_is_seen(spark, sf_dir, key):
+    df, orders = catalog.QUERIES[key](spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert sum(r.orderCount for r in df.collect()) == orders if "orderCount" in df.columns else df.count() == orders
