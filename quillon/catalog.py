@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.engine import Engine
 from quillon.operators import frames
@@ -162,6 +163,25 @@ ask("page_start_limit", "Events", {"columns": ["eventId", "eventType"], "orderBy
 ask("top_k", "Orders", {"columns": ["customer$id", "totalPrice"], "groupBy": ["customer$id"], "orderBy": [{"field": "totalPrice", "order": "desc"}, {"field": "customer$id"}], "limit": 10}, f'SELECT o_custkey AS "customer$id", {total("o_totalprice")} AS "totalPrice" FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10')
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with their place in the order that they come in; sorted partitions are counted, none gets all rows."""
+    schema = T.StructType([*rows.schema, T.StructField("place", T.LongType(), False)])
+    return rows.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema, verifySchema=False)
+
+
+def ask_order(key: str, model: str, body: dict, columns: str, source: str, order: str) -> None:
+    """Registers the whole of an ordered request, each row with its place."""
+    use(key, f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS place FROM {source}")(lambda e: numbered(e.rows(model, body)))
+
+
+DL = "documents d LEFT JOIN labels b ON d.doc_id = b.doc_id"
+ask_order("order_by_whole", "Orders", {"columns": ["orderKey", "totalPrice"], "orderBy": [{"field": "totalPrice", "dir": "desc"}, {"column": "orderKey", "direction": "asc"}]}, 'o_orderkey AS "orderKey", o_totalprice AS "totalPrice"', "orders", "o_totalprice DESC, o_orderkey")
+ask_order("order_default_whole", "OrdersNewest", {"columns": ["orderKey", "orderDate"]}, 'o_orderkey AS "orderKey", o_orderdate AS "orderDate"', "orders", "o_orderdate DESC, o_orderkey")
+ask_order("order_by_unselected_whole", "Orders", {"columns": ["orderKey"], "orderBy": [{"field": "totalPrice", "order": "desc"}, "orderKey"]}, 'o_orderkey AS "orderKey"', "orders", "o_totalprice DESC, o_orderkey")
+ask_order("order_nulls_whole", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "desc", "nullFirst": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality DESC NULLS FIRST, d.doc_id")
+ask_order("order_nulls_last_whole", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "asc", "nullLast": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality ASC NULLS LAST, d.doc_id")
+
+
 def totals_of(model: str, body: dict) -> Callable[[Engine], DataFrame]:
     return lambda engine: engine.query(model, {**body, "returnTotal": True}).totals
 
