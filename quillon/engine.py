@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.errors import QueryError, UnknownField
-from quillon.operators.access import Access, SecurityContext, bounded_scope, without_columns
+from quillon.errors import AccessDenied, QueryError, UnknownField
+from quillon.operators.access import Access, BoundSql, SecurityContext, bounded_scope, without_columns
 from quillon.plans.model import Dictionary, QueryModel, TableModel
 from quillon.plans.planner import Planner, Schema, quoted
 from quillon.plans.request import Request, page_of, read_request
@@ -26,6 +26,7 @@ class Step:
     order: int
     before: Callable[[Request, SecurityContext], Request | int] | None = None
     after: Callable[[DataFrame, SecurityContext], DataFrame] | None = None
+    hides: Callable[[SecurityContext], list[str]] | None = None  # fields that nothing may read for this caller
 
 
 @dataclass
@@ -123,15 +124,15 @@ class Engine:
         if callable(source):
             return source(self)
         if source.lstrip()[:6].upper() == "SELECT" or source.lstrip()[:4].upper() == "WITH":
-            return self.view(source)
+            return self.view(source, data_source)
         return self._sources[data_source](source)
 
-    def view(self, sql: str, **values: object) -> DataFrame:
-        """A model author's SELECT; {name} stands for a table of the sources, :name for a value."""
+    def view(self, sql: str, data_source: str | None = None, **values: object) -> DataFrame:
+        """A model author's SELECT; {name} stands for a table of the data source, :name for a value."""
         import string
 
         names = {n for _, n, _, _ in string.Formatter().parse(sql) if n}
-        return self.spark.sql(sql, args=values or None, **{n: self._sources[None](n) for n in names})
+        return self.spark.sql(sql, args=values or None, **{n: self._sources[data_source](n) for n in names})
 
     # -- queries
 
@@ -148,7 +149,7 @@ class Engine:
                     raise QueryError("a step refused the query")
                 request = changed if isinstance(changed, Request) else request
         schema = self.schema(name)
-        planned = Planner(schema, lambda s: self.frame_of(s, schema.model.model.data_source if s is schema.model.model.source else None), request, context, self._dictionaries, self.exact).plan()
+        planned = Planner(schema, self.frame_of, request, context, self._dictionaries, self.exact, self.hidden_of(schema, context)).plan()
         items, whole = planned.items, planned.whole
         for step in self._steps:
             if step.after:
@@ -157,6 +158,11 @@ class Engine:
             items.explain("formatted")
         return QueryResult(items, whole, planned.totals, request.start, request.limit, planned.joined)
 
+    def hidden_of(self, schema: Schema, context: SecurityContext | None) -> list[str]:
+        """Fields and dimensions of a model that the steps hide from a caller."""
+        found = {n for step in self._steps if step.hides for n in step.hides(context or SecurityContext())}
+        return sorted(n for n in found if n in schema.fields or n in schema.dimensions)
+
     def rows(self, name: str, body: dict, context: SecurityContext | None = None) -> DataFrame:
         """All rows of a request that asks for no page, its page otherwise."""
         return self.query(name, body, context, default_limit=None).items
@@ -164,7 +170,8 @@ class Engine:
     def kpi(self, name: str, body: dict, context: SecurityContext | None = None) -> DataFrame:
         """Measures over all rows: one row, no paging."""
         schema = self.schema(name)
-        columns = body.get("columns") or [n for n in schema.visible if schema.fields[n].kind == "measure"]
+        hidden = schema.hidden_fields(self.hidden_of(schema, context))
+        columns = body.get("columns") or [n for n in schema.visible if schema.fields[n].kind == "measure" and n not in hidden]
         made = [c if " as " in c.lower() else {"field": c} for c in columns]
         named = [m for m in made if isinstance(m, str)]
         fields = [m["field"] for m in made if isinstance(m, dict)]
@@ -179,16 +186,21 @@ class Engine:
         d = schema.find(f"{dimension}$id").dimension
         if d is None:
             raise UnknownField(f"{dimension} is no dimension")
+        if schema.hidden_fields(self.hidden_of(schema, context)) & {f"{dimension}$id", f"{dimension}$caption"}:
+            raise AccessDenied(f"no access to {dimension!r}")
         if d.source is None:
-            source, key = schema.model.model.source, d.foreign_key
+            source, key, where = schema.model.model.source, d.foreign_key, schema.model.model.data_source
         else:
             source, key = d.source, d.primary_key
-        rows = self.frame_of(source)
+            where = next(r.data_source for r in schema.relations.values() if r.source is source)
+        rows = self.frame_of(source, where)
         caption = d.caption_or_key if d.source is not None else key
         for rule in schema.model.accesses:
             if rule.members and rule.field == dimension:
-                access = Access(lambda ref: quoted(ref), F.expr)
+                bound = BoundSql()
+                access = Access(lambda ref: quoted(ref), bound.bind)
                 rule.members(access, context or SecurityContext())
+                rows = rows.withColumns(bound.columns()) if bound.literals else rows
                 for c in access.conditions:
                     rows = rows.filter(c)
         rows = rows.select(quoted(key).alias("id"), quoted(caption).alias("caption")).distinct()
@@ -209,26 +221,28 @@ class Engine:
 
     # -- metadata
 
-    def describe(self, name: str) -> dict:
+    def describe(self, name: str, context: SecurityContext | None = None) -> dict:
         schema = self.schema(name)
-        fields = []
+        fields, hidden = [], schema.hidden_fields(self.hidden_of(schema, context))
         for n in schema.visible:
+            if n in hidden:
+                continue
             f = schema.fields[n]
             fields.append({"name": n, "kind": f.kind, "type": f.type, "caption": f.caption, "aggregation": f.aggregation, "dictionary": f.dictionary, "prompt": getattr(f.note, "prompt", None)})
         return {"model": name, "caption": schema.model.caption, "fields": fields, "hierarchies": sorted(schema.closures)}
 
-    def metadata(self, names: list[str] | None = None) -> dict:
+    def metadata(self, names: list[str] | None = None, context: SecurityContext | None = None) -> dict:
         """Models, an index from field names to the models that have them, and dictionaries."""
-        models = [self.describe(n) for n in names or sorted(self._models)]
+        models = [self.describe(n, context) for n in names or sorted(self._models)]
         index: dict[str, list[str]] = {}
         for m in models:
             for f in m["fields"]:
                 index.setdefault(f["name"], []).append(m["model"])
         return {"models": models, "fields": index, "dictionaries": {k: dict((str(a), b) for a, b in d.items) for k, d in self._dictionaries.items()}}
 
-    def markdown(self, names: list[str] | None = None) -> str:
+    def markdown(self, names: list[str] | None = None, context: SecurityContext | None = None) -> str:
         out = []
-        for m in self.metadata(names)["models"]:
+        for m in self.metadata(names, context)["models"]:
             out += [f"## {m['model']}", "", "| field | kind | type | aggregation |", "|---|---|---|---|"]
             out += [f"| {f['name']} | {f['kind']} | {f['type']} | {f['aggregation'] or ''} |" for f in m["fields"]] + [""]
         return "\n".join(out)
@@ -258,5 +272,5 @@ class Engine:
 
 
 def column_security(hidden_for: Callable[[SecurityContext], list[str]], order: int = 1000) -> Step:
-    """A step that hides fields by who asks."""
-    return Step(order, before=lambda request, context: without_columns(request, hidden_for(context)))
+    """A step that hides fields, or whole dimensions, by who asks: from columns, conditions, expressions, members, metadata."""
+    return Step(order, before=lambda request, context: without_columns(request, hidden_for(context)), hides=hidden_for)

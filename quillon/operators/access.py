@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -9,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.errors import AccessDenied, ScopeError
+from quillon.errors import AccessDenied, QueryError, ScopeError
 from quillon.functions.types import to_datetime
 from quillon.operators.slices import condition, member
 from quillon.plans.request import Request, Slice
@@ -23,16 +24,18 @@ class SecurityContext:
     token: str | None = None
 
     @classmethod
-    def of_header(cls, header: str | None) -> SecurityContext:
-        """The context of an Authorization header; the scheme is left out."""
+    def of_header(cls, header: str | None, read: Callable[[str], dict] | None = None) -> SecurityContext:
+        """The context of an Authorization header; the scheme is left out.  read: what the caller's identity service says of a
+        token (user, roles, and further attributes)."""
         token = (header or "").split(" ")[-1] or None
-        return cls(token=token)
+        known = dict(read(token) or {}) if read and token else {}
+        return cls(known.pop("user", None), tuple(known.pop("roles", None) or ()), known, token)
 
 
 class Access:
     """What an access rule adds conditions through; all of them hold together, and with the request's own."""
 
-    def __init__(self, resolve: Callable[[str], Column], trusted_sql: Callable[[str], Column] | None = None):
+    def __init__(self, resolve: Callable[[str], Column], trusted_sql: Callable[[str, dict[str, object]], Column] | None = None):
         self.resolve, self.trusted_sql, self.conditions = resolve, trusted_sql, []
 
     def add(self, c: Column) -> Access:
@@ -60,19 +63,47 @@ class Access:
         return self.add(condition(self.resolve(ref), op, value))
 
     def and_sql(self, text: str, **values: object) -> Access:
-        """A trusted fragment over the root's physical columns; :name stands for a value."""
-        for k, v in values.items():
-            shown = "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
-            text = text.replace(f":{k}", shown)
-        return self.add(self.trusted_sql(text))
+        """A trusted fragment over the root's physical columns; :name outside quotes stands for a value, which is bound as one and
+        never read as SQL.  Raises QueryError for a name without a value."""
+        return self.add(self.trusted_sql(text, values))
+
+
+SQL_PARTS = re.compile(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|(?<!:):[A-Za-z_]\w*)")
+
+
+class BoundSql:
+    """Fragments whose values stand in columns of their own, which the owner adds to the rows as literals."""
+
+    def __init__(self) -> None:
+        self.literals: dict[str, object] = {}
+
+    def bind(self, text: str, values: dict[str, object], plain: Callable[[str], str] = str) -> Column:
+        """The fragment as a column; plain: changes what is neither quoted nor a value."""
+        parts = SQL_PARTS.split(text)
+        parts[::2] = [plain(p) for p in parts[::2]]
+        for i, part in enumerate(parts):
+            if i % 2 and part[0] == ":":
+                if part[1:] not in values:
+                    raise QueryError(f"{part} has no value")
+                name = f"#bound{len(self.literals)}"
+                self.literals[name] = values[part[1:]]
+                parts[i] = f"`{name}`"
+        return F.expr("".join(parts))
+
+    def columns(self) -> dict[str, Column]:
+        return {name: F.lit(v) for name, v in self.literals.items()}
 
 
 def without_columns(request: Request, hidden: Sequence[str]) -> Request:
-    """Column security: hidden fields are taken out of what is selected, and may not be filtered, grouped or ordered by."""
+    """Column security: hidden fields are taken out of what is selected, and may not be filtered, grouped or ordered by; a
+    request for nothing else is refused.  Expressions are the planner's to refuse, which gets the same names."""
     used = {s.field for s in _leaves(request.slices)} | {g.field for g in request.groups} | {o.field for o in request.orders}
     if bad := used & set(hidden):
         raise AccessDenied(f"no access to {sorted(bad)}")
-    return request.changed(columns=tuple(c for c in request.columns if c not in hidden), excluded=(*request.excluded, *hidden))
+    left = tuple(c for c in request.columns if c not in hidden)
+    if request.columns and not left:
+        raise AccessDenied(f"no access to {sorted(request.columns)}")
+    return request.changed(columns=left, excluded=(*request.excluded, *hidden))
 
 
 def _leaves(slices: Sequence[Slice]) -> list[Slice]:

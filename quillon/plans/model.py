@@ -89,6 +89,7 @@ class Dimension:
     caption: str | None = None
     broadcast_rows: int | None = None  # send it to all executors if it has no more rows than this; None: leave it to Spark
     force_index: str | None = None  # accepted and ignored: Spark has none
+    data_source: str | None = None  # None: that of the model or dimension it hangs on
     ai: AiNote = AiNote()
 
     @property

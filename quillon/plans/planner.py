@@ -7,7 +7,7 @@ them, so scans stay narrow and no two columns have one name.  Everything physica
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from quillon.errors import AccessDenied, AliasClash, QueryError, UnknownField
 from quillon.functions import expr
 from quillon.functions.naming import FieldPath
 from quillon.functions.types import parameter
-from quillon.operators.access import Access, SecurityContext
+from quillon.operators.access import Access, BoundSql, SecurityContext
 from quillon.operators.slices import HIERARCHY, condition, member, split_conditions, within_distance
 from quillon.plans.joins import Edge, JoinGraph
 from quillon.plans.model import Closure, Dimension, Measure, ModelJoin, On, Property, QueryModel, TableModel
@@ -40,6 +40,7 @@ class Relation:
     alias: str
     source: object
     broadcast_rows: int | None = None
+    data_source: str | None = None
 
 
 @dataclass
@@ -86,7 +87,7 @@ class Schema:
         self.visible = self._visible()
 
     def _add_model(self, t: TableModel, alias: str, prefix: str) -> None:
-        self.relations[alias] = Relation(alias, t.source)
+        self.relations[alias] = Relation(alias, t.source, data_source=t.data_source)
         for p in t.properties:
             self._add_field(prefix + p.key, self._property(p, alias), kind="property")
         for m in t.measures:
@@ -123,7 +124,7 @@ class Schema:
             owned.append(("caption", FieldDef("", "dimension", keyed, d.type, d.caption, dimension=d)))
         else:
             alias = path.dotted
-            self.relations[alias] = Relation(alias, d.source, d.broadcast_rows)
+            self.relations[alias] = Relation(alias, d.source, d.broadcast_rows, self._source_of(d, parent))
             self.graph.add(Edge(parent, alias, lambda use: use(parent, d.foreign_key) == use(alias, d.primary_key)))
             owned.append(("caption", FieldDef("", "dimension", lambda use: use(alias, d.caption_or_key), "STRING", d.caption, dimension=d)))
             for p in d.properties:
@@ -139,12 +140,16 @@ class Schema:
             if d.closure is not None:
                 self.closures[name] = (d.closure, d, parent, keyed)
 
+    def _source_of(self, d: Dimension, parent: str) -> str | None:
+        """A dimension's data source: its own, else that of what it hangs on."""
+        return d.data_source if d.data_source is not None else self.relations[parent].data_source
+
     def _hierarchy(self, d: Dimension, parent: str, path: FieldPath) -> list[tuple[str, FieldDef]]:
         """Fields of a node's ancestors, itself among them: a row for each."""
         closure, above = path.dotted + "#closure", path.dotted + "#above"
         c = d.closure
-        self.relations[closure] = Relation(closure, c.source)
-        self.relations[above] = Relation(above, d.source)
+        self.relations[closure] = Relation(closure, c.source, data_source=self._source_of(d, parent))
+        self.relations[above] = Relation(above, d.source, data_source=self._source_of(d, parent))
         self.graph.add(Edge(parent, closure, lambda use: use(parent, d.foreign_key) == use(closure, c.child_key), "inner"))
         self.graph.add(Edge(closure, above, lambda use: use(closure, c.parent_key) == use(above, d.primary_key)))
         caption = lambda use: use(above, d.caption_or_key)
@@ -191,6 +196,14 @@ class Schema:
                 out[n] = None
         return out
 
+    def hidden_fields(self, names: Sequence[str]) -> set[str]:
+        """These fields and all of these dimensions, under any of their names."""
+        whole = {n for name in names for n in self.fields if n == name or n.startswith(f"{name}$")}
+        if unknown := [n for n in names if n not in whole and n not in self.dimensions]:
+            raise UnknownField(f"{self.model.name} has no field {unknown}")
+        builds = {id(self.fields[n].build) for n in whole}
+        return {n for n, f in self.fields.items() if id(f.build) in builds}
+
     def find(self, name: str) -> FieldDef:
         if name not in self.fields:
             raise UnknownField(f"{self.model.name} has no field {name!r}")
@@ -214,8 +227,9 @@ class Planned:
 class Planner:
     """Plans one request."""
 
-    def __init__(self, schema: Schema, frame_of: Callable[[object], DataFrame], request: Request, context: SecurityContext | None = None, dictionaries: dict | None = None, exact: bool = True):
+    def __init__(self, schema: Schema, frame_of: Callable[[object, str | None], DataFrame], request: Request, context: SecurityContext | None = None, dictionaries: dict | None = None, exact: bool = True, hidden: Sequence[str] = ()):
         self.schema, self.frame_of, self.request, self.context = schema, frame_of, request, context or SecurityContext()
+        self.hidden, self.bound = schema.hidden_fields(hidden), BoundSql()
         self.dictionaries, self.exact = dictionaries or {}, exact
         self.used: dict[str, dict[str, str]] = {"root": {}}
         self.calculated: dict[str, tuple[expr.Node, str | None]] = {}
@@ -234,6 +248,8 @@ class Planner:
         f = self.schema.find(name)
         if name not in self.schema.visible and not f.fan:
             raise AccessDenied(f"{self.schema.model.name} doesn't show {name!r}")
+        if name in self.hidden:
+            raise AccessDenied(f"no access to {name!r}")
         return f
 
     def row_value(self, name: str) -> Column:
@@ -252,6 +268,8 @@ class Planner:
 
     def aggregate(self, how: str, value: Column | None) -> Column:
         how = how.upper()
+        if how == "CUSTOM" and value is not None:
+            return value  # a formula that aggregates by itself
         if how == "COUNT":
             return F.count("*") if value is None else F.count(value)
         if value is None:
@@ -297,7 +315,7 @@ class Planner:
         for g in r.groups:
             if g.field not in names and r.columns == ():
                 names.append(g.field)
-        hidden = {n for e in r.excluded for n in self.schema.dimensions.get(e, [e])}
+        hidden = {n for e in r.excluded for n in self.schema.dimensions.get(e, [e])} | self.hidden
         taken: dict[str, str] = {}
         for n in names:
             if n in hidden:
@@ -333,7 +351,7 @@ class Planner:
         r = self.request
         outputs = self.outputs()
         by_group = {g.field: g.aggregation for g in r.groups}
-        grouped = bool(r.groups) or any(o.node is not None and self.is_aggregate(o.name) for o in outputs)
+        grouped = bool(r.groups) or any(self.is_aggregate(o.name) if o.node is not None else o.field.aggregation == "CUSTOM" for o in outputs)
         rows = self._conditions(grouped)
         # every column that is needed has to be known before relations are read
         keys, sums = [], []
@@ -402,6 +420,8 @@ class Planner:
             if name not in self.schema.closures:
                 raise QueryError(f"{name} is no hierarchy")
             c, d, parent, key = self.schema.closures[name]
+            if f"{name}$id" in self.hidden:
+                raise AccessDenied(f"no access to {name!r}")
             key(self.use)
             if not s.dedupe:
                 for column in (c.child_key, c.parent_key, c.distance):
@@ -442,9 +462,10 @@ class Planner:
         values = list(s.value) if isinstance(s.value, (list, tuple)) else [s.value]
         if s.dedupe:
             name = f"#{len(self.semi)}"
+            source = d.data_source if d.data_source is not None else self.schema.relations[parent].data_source
 
             def rows() -> DataFrame:
-                found = self.frame_of(c.source).filter(member(quoted(c.parent_key), values) & within_distance(quoted(c.distance), s.op, s.max_depth))
+                found = self.frame_of(c.source, source).filter(member(quoted(c.parent_key), values) & within_distance(quoted(c.distance), s.op, s.max_depth))
                 return found.select(quoted(c.child_key).alias(name)).distinct()
 
             self.semi.append((key(self.use), rows, name))
@@ -459,22 +480,27 @@ class Planner:
                 rule.builder(access, self.context)
         return access
 
-    def _trusted(self, text: str) -> Column:
+    def _trusted(self, text: str, values: dict[str, object]) -> Column:
         """A model author's fragment, whose names are physical columns of the root."""
-        columns = self.frame_of(self.schema.relations["root"].source).columns
-        outside = re.split(r"('(?:[^'\\]|\\.)*')", text)
-        for i in range(0, len(outside), 2):
-            for c in columns:
-                if re.search(rf"\b{re.escape(c)}\b", outside[i]):
-                    self.use("root", c)
-                    outside[i] = re.sub(rf"\b{re.escape(c)}\b", f"`{self.used['root'][c]}`", outside[i])
-        return F.expr("".join(outside))
+        root = self.schema.relations["root"]
+        columns = set(self.frame_of(root.source, root.data_source).columns)
+
+        def named(m: re.Match) -> str:
+            name = m[1] or m[0]
+            if name not in columns:
+                return m[0]
+            self.use("root", name)
+            return f"`{self.used['root'][name]}`"
+
+        return self.bound.bind(text, values, lambda part: re.sub(r"`([^`]*)`|\b[A-Za-z_]\w*\b", named, part))
 
     def _frame(self) -> tuple[DataFrame, list[str]]:
         needed = [a for a in self.schema.relations if a in self.used and a != "root"]
         edges = self.schema.graph.ordered(needed, self.request.join_types)
         conditions = [(e, e.condition(self.use)) for e in edges]
         frame = self._columns("root")
+        if self.bound.literals:
+            frame = frame.withColumns(self.bound.columns())
         for e, on in conditions:
             right = self._columns(e.end)
             most = self.schema.relations[e.end].broadcast_rows
@@ -485,7 +511,7 @@ class Planner:
 
     def _columns(self, alias: str) -> DataFrame:
         taken = self.used.get(alias, {})
-        frame = self.frame_of(self.schema.relations[alias].source)
+        frame = self.frame_of(self.schema.relations[alias].source, self.schema.relations[alias].data_source)
         if missing := [c for c in taken if c not in frame.columns]:
             raise UnknownField(f"{alias} has no column {missing}")
         return frame.select(*[quoted(c).alias(n) for c, n in taken.items()])
@@ -540,6 +566,8 @@ class Planner:
                     if default:
                         continue
                     raise QueryError(f"{o.field} has to be selected to order by it")
+                if default and name in self.hidden | {FieldPath.parse(h).alias for h in self.hidden}:
+                    continue
                 hidden = f"#order{len(extra)}"
                 extra.append((hidden, self.row_value(o.field)))
                 name = hidden
@@ -563,7 +591,7 @@ class Planner:
             if o.node is not None and how is None and self.is_aggregate(o.name):
                 how = o.node.function if isinstance(o.node, expr.Call) and o.node.function in expr.AGGREGATES else "SUM"
             c = quoted(o.name)
-            if how in (None, *KEY_AGGREGATIONS) or not grouped and how == "GROUP_CONCAT":
+            if how in (None, "CUSTOM", *KEY_AGGREGATIONS) or not grouped and how == "GROUP_CONCAT":
                 made.append(F.lit(None).cast(whole.schema[o.name].dataType).alias(o.name))
             elif how == "COUNT":
                 made.append((F.sum(c) if grouped else F.count("*")).alias(o.name))
