@@ -311,9 +311,9 @@ def type_name(v: object) -> str | None:
 
 #: The rules that make sense on data, as expressions.
 COLUMNS: dict[str, Callable[..., Column]] = {
-    "truthy": lambda c: F.coalesce((c.cast("string") != "") & (c.cast("string") != "0") & (c.cast("string") != "false"), F.lit(False)),
+    "truthy": lambda c: c.isNotNull() & F.when(F.typeof(c) == "string", ~c.cast("string").isin("", "0", "false")).when(F.typeof(c) == "boolean", c.cast("string") == "true").otherwise(F.coalesce(c.cast("string").try_cast("double") != 0, F.lit(True))),
     "equal": lambda a, b: a.eqNullSafe(b),
-    "divide": lambda a, b: F.coalesce(F.try_divide(a, b), F.when(a.isNull(), 0.0).otherwise(float("nan"))),
+    "divide": lambda a, b: F.when(a.isNull(), 0.0).when(b.isNull() | (a.cast("double") == 0) & (b.cast("double") == 0), float("nan")).otherwise(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.signum(a.cast("double")) * F.lit(float("inf")))),
     "bit_and": lambda a, b: F.coalesce(a, F.lit(0)).bitwiseAND(F.coalesce(b, F.lit(0))),
     "iif": lambda c, a, b: F.when(COLUMNS["truthy"](c), a).otherwise(b),
     "ceil": F.ceil,

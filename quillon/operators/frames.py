@@ -36,8 +36,23 @@ def where_all(df: DataFrame, *predicates: Column | None) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, there)) if there else df
 
 
-def first_by(df: DataFrame, column: str, value: object) -> DataFrame:
-    return df.filter(F.col(column) == F.lit(value)).limit(1)
+def first_by(df: DataFrame, column: str, value: object, order: Sequence[str] = ()) -> DataFrame:
+    """The first row with a value, by an order; without one, any."""
+    found = df.filter(F.col(column) == F.lit(value))
+    return (found.orderBy(*order) if order else found).limit(1)
+
+
+def unique_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df as a unique index of columns: a row per key, `row`.  A key with several rows raises an error when rows are read."""
+    held = df.groupBy(*columns).agg(F.first(F.struct(*df.columns)).alias("row"), F.count("*").alias("#n"))
+    one = F.when(F.col("#n") > 1, F.raise_error(F.concat(F.lit("several rows with one key: "), F.to_json(F.struct(*columns))))).otherwise(F.lit(None).cast("string"))
+    return held.withColumn("#checked", one).filter(F.col("#checked").isNull()).select(*columns, "row")
+
+
+def multi_by(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df as a multiple index of columns: all rows of a key, `rows`, in an order.  A key's rows are held together."""
+    fields = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row"))
+    return df.groupBy(*columns).agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["row"]).alias("rows"))
 
 
 def to_list(df: DataFrame, column: str, limit: int) -> list:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,10 @@ from quillon.engine import Engine
 from quillon.operators.frames import is_empty
 
 
+#: A place for a value, or a quoted part, in which there is none.
+MARK = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\?")
+
+
 class Script:
     """SELECT text put together from parts.  {name} is a table; each ? of an optional part is bound to a value."""
 
@@ -20,7 +25,7 @@ class Script:
         """Adds the part if the value isn't empty; the value counts once for each ? in it."""
         if not is_empty(value) or force:
             self.text += " " + part
-            self.values += [value] * part.count("?")
+            self.values += [value] * MARK.findall(part).count("?")
         return self
 
     def in_list(self, part: str, values: list, force: bool = False) -> Script:
@@ -45,11 +50,16 @@ class Script:
         import string
 
         names = {n for _, n, _, _ in string.Formatter().parse(self.text) if n}
-        text = self.text
-        values = {}
-        for i, v in enumerate(self.values):
-            text = text.replace("?", f":p{i}", 1)
-            values[f"p{i}"] = v
+        left, values = iter(self.values), {}
+
+        def bound(m: re.Match) -> str:
+            if m[0] != "?":
+                return m[0]
+            name = f"p{len(values)}"
+            values[name] = next(left)
+            return f":{name}"
+
+        text = MARK.sub(bound, self.text)
         return engine.spark.sql(text, args=values or None, **{n: engine.frame_of(n) for n in names})
 
     def run(self, engine: Engine) -> DataFrame:
@@ -73,9 +83,9 @@ class Conditional:
         return self
 
     def run(self, engine: Engine, args: dict) -> DataFrame:
-        for sql, match, _ in self.entries:
+        for sql, match, data_source in self.entries:
             if match(args):
-                return engine.view(sql)
+                return engine.view(sql, data_source)
         raise LookupError("no text's condition holds")
 
 

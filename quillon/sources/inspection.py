@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quillon.functions.naming import camel
@@ -85,3 +85,21 @@ def missing_columns(schema: T.StructType, existing: T.StructType) -> list[T.Stru
     """Columns that a table lacks of a schema, for ALTER TABLE ... ADD COLUMNS."""
     there = {f.name.lower() for f in existing.fields}
     return [f for f in schema.fields if f.name.lower() not in there]
+
+
+def drop_ddl(table: str) -> str:
+    return f"DROP TABLE IF EXISTS {table}"
+
+
+def alter_ddl(schema: T.StructType, existing: T.StructType, table: str) -> str | None:
+    """ALTER TABLE for the columns that the table lacks; None where it lacks none."""
+    lacking = [f"`{f.name}` {f.dataType.simpleString().upper()}" for f in missing_columns(schema, existing)]
+    return f"ALTER TABLE {table} ADD COLUMNS ({', '.join(lacking)})" if lacking else None
+
+
+def synchronise(spark: SparkSession, schema: T.StructType, table: str) -> list[str]:
+    """Creates the table, or adds the columns that it lacks; returns the statements that it ran.  Nothing is ever dropped."""
+    made = alter_ddl(schema, spark.table(table).schema, table) if spark.catalog.tableExists(table) else ddl_of(schema, table)
+    if made:
+        spark.sql(made)
+    return [made] if made else []

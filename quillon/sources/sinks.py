@@ -14,12 +14,14 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)
 
 
-def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], version: str | None = None, updates: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], version: str | None = None, updates: dict[str, Callable[[Column, Column], Column]] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """table with rows in place of those that have their keys, and the others added.
 
-    rows has one row per key.  version: a stored row with a larger one stays.  updates: for a column, a function of its old
-    and new value.  One shuffle on the keys; null keys equal nothing, as in a database's unique index.
+    Of several rows with one key the last counts: by the columns of order, else by version, else as rows come.  version: a
+    stored row with a larger one stays.  updates: for a column, a function of its old and new value.  Null keys equal
+    nothing, as in a database's unique index.
     """
+    rows = last_of_key(rows, keys, order or ([version] if version else ()))
     new = rows.select(*[F.col(c).alias(f"#{c}") for c in table.columns if c in rows.columns], F.lit(True).alias("#there"))
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"#{k}") for k in keys])
     joined = table.withColumn("#old", F.lit(True)).join(new, same, "full_outer")
@@ -37,6 +39,15 @@ def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str], version: st
     return joined.select(*out)
 
 
+def last_of_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """rows with the last one of each key; all of those with a null key.  One aggregation, with a partial one before it."""
+    place = F.struct(*[F.col(c) for c in order], F.monotonically_increasing_id().alias("#at"))
+    bare = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("#row"), place.alias("#place"), *keys)
+    one = held.filter(~bare).groupBy(*keys).agg(F.max_by("#row", "#place").alias("#row")).select("#row")
+    return one.union(held.filter(bare).select("#row")).select("`#row`.*")
+
+
 def without(table: DataFrame, values: dict[str, object]) -> DataFrame:
     """table without the rows that have all these values; one with a null there stays."""
     gone = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in values.items()])
