@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.engine import Engine
+from quillon.engine import Engine, column_security
+from quillon.errors import QueryError
+from quillon.functions import scripting
 from quillon.operators import frames
 from quillon.operators.access import SecurityContext
+from quillon.plans.model import AccessRule, Measure, QueryModel
 from quillon.plans.request import read_request
-from quillon.sources import datasets, sinks
-from quillon.star import star_engine
+from quillon.sources import datasets, inspection, sinks
+from quillon.star import ORDERS, star_engine
 from quillon.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,8 +72,7 @@ ask("select_all", "Labels", {}, 'SELECT doc_id AS "labelDoc", quality, toxic, 1
 ask("exclude_columns", "Documents", {"exColumns": ["source", "count", "nChars", "docCount", "chars"]}, 'SELECT doc_id AS "docId", lang FROM documents')
 ask("view_model", "BigOrders", {"columns": ["custKey", "totalPrice"], "groupBy": ["custKey"]}, f'SELECT o_custkey AS "custKey", {total("o_totalprice")} AS "totalPrice" FROM orders WHERE o_totalprice > 200000 GROUP BY 1')
 ask("distinct_rows", "Orders", {"columns": ["status", "priority"], "distinct": True}, "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders")
-ask("dimension_expands", "Orders", {"columns": ["orderKey", "customer"], "slice": [cond("orderKey", "<", 500)]}, f'SELECT o_orderkey AS "orderKey", o_custkey AS "customer$id", c_name AS "customer$caption" FROM {OC} WHERE o_orderkey < 500')
-ask("dimension_expands_whole", "Orders", {"columns": ["orderKey", "customer"]}, f'SELECT o_orderkey AS "orderKey", o_custkey AS "customer$id", c_name AS "customer$caption" FROM {OC}')
+ask("dimension_expands", "Orders", {"columns": ["orderKey", "customer"]}, f'SELECT o_orderkey AS "orderKey", o_custkey AS "customer$id", c_name AS "customer$caption" FROM {OC}')
 ask("key_only_dimension", "Events", {"columns": ["user$id", "eventCount"], "groupBy": ["user$id"]}, 'SELECT user_id AS "user$id", count(*) AS "eventCount" FROM events GROUP BY 1')
 
 # -- joins
@@ -139,8 +142,7 @@ ask("agg_count", "Orders", {"columns": ["priority", "orderCount", "count(orderKe
 ask("agg_minmax", "Orders", {"columns": ["status", "min(totalPrice) as least", "max(totalPrice) as most"]}, "SELECT o_orderstatus AS status, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1")
 ask("agg_group_concat", "Orders", {"columns": ["customer$id", "group_concat(orderKey) as keys"]}, """SELECT o_custkey AS "customer$id", string_agg(k, ',' ORDER BY k COLLATE "C") AS keys FROM (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS k FROM orders) GROUP BY 1""".replace(' COLLATE "C"', ""))
 ask("agg_override", "Orders", {"columns": ["status", "totalPrice"], "groupBy": [{"field": "status"}, {"field": "totalPrice", "agg": "AVG"}]}, f'SELECT o_orderstatus AS status, {mean("o_totalprice")} AS "totalPrice" FROM orders GROUP BY 1')
-ask("agg_none_is_key", "Orders", {"columns": ["totalPrice", "orderCount"], "groupBy": [{"field": "totalPrice", "agg": "NONE"}], "slice": [cond("orderKey", "<", 2000)]}, 'SELECT o_totalprice AS "totalPrice", count(*) AS "orderCount" FROM orders WHERE o_orderkey < 2000 GROUP BY 1')
-ask("agg_none_is_key_whole", "Orders", {"columns": ["totalPrice", "orderCount"], "groupBy": [{"field": "totalPrice", "agg": "NONE"}]}, 'SELECT o_totalprice AS "totalPrice", count(*) AS "orderCount" FROM orders GROUP BY 1')
+ask("agg_none_is_key", "Orders", {"columns": ["totalPrice", "orderCount"], "groupBy": [{"field": "totalPrice", "agg": "NONE"}]}, 'SELECT o_totalprice AS "totalPrice", count(*) AS "orderCount" FROM orders GROUP BY 1')
 ask("agg_pk_is_key", "Orders", {"columns": ["orderKey", "orderCount"], "groupBy": [{"field": "orderKey", "agg": "PK"}]}, 'SELECT o_orderkey AS "orderKey", count(*) AS "orderCount" FROM orders GROUP BY 1')
 ask("agg_auto_group", "LineItem", {"columns": ["returnFlag", "sum(quantity) as total"]}, f'SELECT l_returnflag AS "returnFlag", {total("l_quantity")} AS total FROM lineitem GROUP BY 1')
 ask("agg_default_measure", "LineItem", {"columns": ["returnFlag", "quantity", "extendedPrice", "discount", "netAmount", "lineCount"], "groupBy": ["returnFlag"]},
@@ -153,11 +155,6 @@ ask("having_with_where", "Orders", {"columns": ["customer$segment", "sum(totalPr
 ask("having_or", "Orders", {"columns": ["customer$id", "count(*) as n", "max(totalPrice) as most"], "slice": [cond("n", ">", 15), cond("most", ">", 400000, link=2)]}, 'SELECT o_custkey AS "customer$id", count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1 HAVING count(*) > 15 OR max(o_totalprice) > 400000')
 
 # -- order, pages, totals
-ask("order_by", "Orders", {"columns": ["orderKey", "totalPrice"], "orderBy": [{"field": "totalPrice", "dir": "desc"}, {"column": "orderKey", "direction": "asc"}], "limit": 50}, 'SELECT o_orderkey AS "orderKey", o_totalprice AS "totalPrice" FROM orders ORDER BY 2 DESC, 1 LIMIT 50')
-ask("order_default", "OrdersNewest", {"columns": ["orderKey", "orderDate"], "limit": 40}, 'SELECT o_orderkey AS "orderKey", o_orderdate AS "orderDate" FROM orders ORDER BY 2 DESC, 1 LIMIT 40')
-ask("order_by_unselected", "Orders", {"columns": ["orderKey"], "orderBy": [{"field": "totalPrice", "order": "desc"}, "orderKey"], "limit": 30}, 'SELECT o_orderkey AS "orderKey" FROM orders ORDER BY o_totalprice DESC, 1 LIMIT 30')
-ask("order_nulls", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "desc", "nullFirst": True}, {"field": "docId"}], "limit": 120}, 'SELECT d.doc_id AS "docId" FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id ORDER BY quality DESC NULLS FIRST, 1 LIMIT 120')
-ask("order_nulls_last", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "asc", "nullLast": True}, {"field": "docId"}], "limit": 120}, 'SELECT d.doc_id AS "docId" FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id ORDER BY quality ASC NULLS LAST, 1 LIMIT 120')
 ask("page_offset", "Orders", {"columns": ["orderKey", "totalPrice"], "orderBy": ["orderKey"], "page": 3, "pageSize": 20}, 'SELECT o_orderkey AS "orderKey", o_totalprice AS "totalPrice" FROM orders ORDER BY 1 LIMIT 20 OFFSET 40')
 ask("page_start_limit", "Events", {"columns": ["eventId", "eventType"], "orderBy": [{"field": "eventId", "order": "desc"}], "start": 15, "limit": 25}, 'SELECT event_id AS "eventId", event_type AS "eventType" FROM events ORDER BY 1 DESC LIMIT 25 OFFSET 15')
 ask("top_k", "Orders", {"columns": ["customer$id", "totalPrice"], "groupBy": ["customer$id"], "orderBy": [{"field": "totalPrice", "order": "desc"}, {"field": "customer$id"}], "limit": 10}, f'SELECT o_custkey AS "customer$id", {total("o_totalprice")} AS "totalPrice" FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10')
@@ -175,11 +172,11 @@ def ask_order(key: str, model: str, body: dict, columns: str, source: str, order
 
 
 DL = "documents d LEFT JOIN labels b ON d.doc_id = b.doc_id"
-ask_order("order_by_whole", "Orders", {"columns": ["orderKey", "totalPrice"], "orderBy": [{"field": "totalPrice", "dir": "desc"}, {"column": "orderKey", "direction": "asc"}]}, 'o_orderkey AS "orderKey", o_totalprice AS "totalPrice"', "orders", "o_totalprice DESC, o_orderkey")
-ask_order("order_default_whole", "OrdersNewest", {"columns": ["orderKey", "orderDate"]}, 'o_orderkey AS "orderKey", o_orderdate AS "orderDate"', "orders", "o_orderdate DESC, o_orderkey")
-ask_order("order_by_unselected_whole", "Orders", {"columns": ["orderKey"], "orderBy": [{"field": "totalPrice", "order": "desc"}, "orderKey"]}, 'o_orderkey AS "orderKey"', "orders", "o_totalprice DESC, o_orderkey")
-ask_order("order_nulls_whole", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "desc", "nullFirst": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality DESC NULLS FIRST, d.doc_id")
-ask_order("order_nulls_last_whole", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "asc", "nullLast": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality ASC NULLS LAST, d.doc_id")
+ask_order("order_by", "Orders", {"columns": ["orderKey", "totalPrice"], "orderBy": [{"field": "totalPrice", "dir": "desc"}, {"column": "orderKey", "direction": "asc"}]}, 'o_orderkey AS "orderKey", o_totalprice AS "totalPrice"', "orders", "o_totalprice DESC, o_orderkey")
+ask_order("order_default", "OrdersNewest", {"columns": ["orderKey", "orderDate"]}, 'o_orderkey AS "orderKey", o_orderdate AS "orderDate"', "orders", "o_orderdate DESC, o_orderkey")
+ask_order("order_by_unselected", "Orders", {"columns": ["orderKey"], "orderBy": [{"field": "totalPrice", "order": "desc"}, "orderKey"]}, 'o_orderkey AS "orderKey"', "orders", "o_totalprice DESC, o_orderkey")
+ask_order("order_nulls", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "desc", "nullFirst": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality DESC NULLS FIRST, d.doc_id")
+ask_order("order_nulls_last", "DocumentsLeftLabels", {"columns": ["docId"], "orderBy": [{"field": "label.quality", "order": "asc", "nullLast": True}, {"field": "docId"}]}, 'd.doc_id AS "docId"', DL, "quality ASC NULLS LAST, d.doc_id")
 
 
 def totals_of(model: str, body: dict) -> Callable[[Engine], DataFrame]:
@@ -215,8 +212,7 @@ ask("expr_as_filter", "Orders", {"columns": ["orderKey", "share"], "calculatedFi
 ask("expr_inline", "Orders", {"columns": ["orderKey", "totalPrice * 1.5 as more"]}, 'SELECT o_orderkey AS "orderKey", o_totalprice * 1.5::DOUBLE AS more FROM orders')
 ask("expr_json", "Events", {"columns": ["propK", "eventCount"], "groupBy": ["propK"]}, """SELECT json_extract_string(props, '$.k') AS "propK", count(*) AS "eventCount" FROM events GROUP BY 1""")
 ask("expr_year_group", "Orders", {"columns": ["YEAR(orderDate) as y", "sum(totalPrice) as spent"]}, f"SELECT CAST(year(o_orderdate) AS INTEGER) AS y, {total('o_totalprice')} AS spent FROM orders GROUP BY 1")
-ask("expr_now", "Orders", {"columns": ["orderKey", "NOW() as at"], "slice": [cond("orderKey", "<", 100)]}, None)
-ask("expr_now_whole", "Orders", {"columns": ["orderKey", "NOW() as at"]}, None)
+ask("expr_now", "Orders", {"columns": ["orderKey", "known"], "calculatedFields": [{"name": "known", "expression": "NOW() > orderDate AND NOW() < DATE('2400-01-01')"}]}, """SELECT o_orderkey AS "orderKey", CAST(now() AS TIMESTAMP) > o_orderdate AND CAST(now() AS TIMESTAMP) < TIMESTAMP '2400-01-01' AS known FROM orders""")
 
 # -- hierarchies
 TREE = """places AS (SELECT 'W' AS id, 'WORLD' AS name, NULL AS up UNION ALL SELECT 'R' || r_regionkey, r_name, 'W' FROM region UNION ALL SELECT 'N' || n_nationkey, n_name, 'R' || n_regionkey FROM nation),
@@ -260,8 +256,6 @@ def _(e: Engine) -> DataFrame:
 
 @use("column_security", 'SELECT o_orderkey AS "orderKey", o_orderstatus AS status FROM orders')
 def _(e: Engine) -> DataFrame:
-    from quillon.engine import column_security
-
     e.add_step(column_security(lambda context: ["totalPrice"]))
     return e.rows("Orders", {"columns": ["orderKey", "status", "totalPrice"]})
 
@@ -369,6 +363,131 @@ def _(e: Engine) -> DataFrame:
     return sinks.inserted(n, n.withColumn("n_nationkey", F.col("n_nationkey") + 100))
 
 
+@use("upsert_repeated_keys", f"""WITH changes AS (SELECT *, 1 AS turn FROM {CHANGES} UNION ALL SELECT c_custkey, c_name || '?', c_acctbal * 2, version, 2 FROM {CHANGES} WHERE c_custkey % 8 = 0),
+last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY turn DESC) = 1)
+SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, coalesce(n.version, 1) AS version FROM customer o FULL JOIN last n ON o.c_custkey = n.c_custkey""")
+def _(e: Engine) -> DataFrame:
+    old, new = _changes(e)
+    again = new.filter("c_custkey % 8 = 0").select("c_custkey", F.concat("c_name", F.lit("?")).alias("c_name"), (F.col("c_acctbal") * 2).alias("c_acctbal"), "version")
+    return sinks.upserted(old, new.withColumn("turn", F.lit(1)).union(again.withColumn("turn", F.lit(2))), ["c_custkey"], order=["turn"])
+
+
+@use("lookup_multi", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def _(e: Engine) -> DataFrame:
+    held = frames.multi_by(e.frame_of("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+    return held.select("o_custkey", F.size("rows").cast("bigint").alias("n"), F.col("rows")[0]["o_orderkey"].alias("first"), F.element_at("rows", -1)["o_orderkey"].alias("last"))
+
+
+@use("lookup_unique", "SELECT n_nationkey, n_name FROM nation")
+def _(e: Engine) -> DataFrame:
+    return frames.unique_by(e.frame_of("nation"), ["n_nationkey"]).select("n_nationkey", "row.n_name")
+
+
+@use("alter_add_columns", "SELECT column_name, n FROM (VALUES ('o_comment', 1), ('o_weight', 2)) AS t(column_name, n)")
+def _(e: Engine) -> DataFrame:
+    have = e.frame_of("orders").schema
+    lacking = inspection.missing_columns(T.StructType([*have.fields, T.StructField("o_comment", T.StringType()), T.StructField("O_ORDERKEY", T.LongType()), T.StructField("o_weight", T.DoubleType())]), have)
+    return e.spark.createDataFrame([(f.name, i) for i, f in enumerate(lacking, 1)], "column_name string, n int")
+
+
+@use("access_sql_bound", "SELECT o_orderkey AS \"orderKey\" FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> ':status' AND o_orderkey > 7 AND o_custkey > 70")
+def _(e: Engine) -> DataFrame:
+    rule = AccessRule(lambda a, context: a.and_sql("o_orderstatus = :status AND o_orderpriority <> ':status' AND o_orderkey > :id AND o_custkey > :id2", **context.attributes))
+    e.register(QueryModel("OrdersBound", ORDERS, accesses=(rule,)))
+    return e.rows("OrdersBound", {"columns": ["orderKey"]}, SecurityContext(attributes={"status": "F", "id": 7, "id2": 70}))
+
+
+@use("access_sql_no_injection", "SELECT o_orderkey AS \"orderKey\" FROM orders WHERE 1 = 2")
+def _(e: Engine) -> DataFrame:
+    e.register(QueryModel("OrdersBound", ORDERS, accesses=(AccessRule(lambda a, context: a.and_sql("o_orderstatus = :a AND o_orderpriority = :b", a=":b", b=" or 1=1 or o_orderstatus = ")),)))
+    return e.rows("OrdersBound", {"columns": ["orderKey"]})
+
+
+def refused(key: str, steps: Callable[[Engine], object], bodies: list[tuple[str, dict]], model: str = "Orders") -> None:
+    """Registers requests that must be refused: a row for each with the kind of error."""
+
+    @use(key, " UNION ALL ".join(f"SELECT {i} AS request, '{kind}' AS refused" for i, (kind, _) in enumerate(bodies)))
+    def _(e: Engine) -> DataFrame:
+        steps(e)
+        found = []
+        for i, (_, body) in enumerate(bodies):
+            try:
+                e.rows(model, body)
+                found.append((i, "none"))
+            except QueryError as error:
+                found.append((i, type(error).__name__))
+        return e.spark.createDataFrame(found, "request int, refused string")
+
+
+def hide_price(e: Engine) -> None:
+    e.add_step(column_security(lambda context: ["totalPrice", "customer.nation"]))
+
+
+refused("column_security_expr", hide_price, [("AccessDenied", b) for b in (
+    {"columns": ["totalPrice"]}, {"columns": ["orderKey", "totalPrice + 0 as x"]}, {"columns": ["sum(totalPrice) as s"]}, {"columns": ["orderKey"], "slice": [cond("totalPrice", ">", 1)]},
+    {"columns": ["x"], "calculatedFields": [{"name": "x", "expression": "totalPrice"}]}, {"columns": ["orderKey"], "orderBy": ["totalPrice"]}, {"columns": ["status"], "groupBy": ["status", "customer.nation$id"]},
+    {"columns": ["orderKey", "UPPER(customer.nation$caption) as x"]},
+)])
+refused("having_mixed_or_refused", lambda e: None, [("InvalidSlice", {"columns": ["status", "sum(totalPrice) as s"], "slice": [cond("s", ">", 1), cond("status", "=", "O", link=2)]})])
+
+
+@use("access_ne_null", "SELECT o_orderkey AS \"orderKey\" FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority IS NOT NULL")
+def _(e: Engine) -> DataFrame:
+    e.register(QueryModel("OrdersNe", ORDERS, accesses=(AccessRule(lambda a, context: a.and_ne("status", "O").and_not_null("priority")), AccessRule(lambda a, context: a.and_null("status") if context.user else a))))
+    return e.rows("OrdersNe", {"columns": ["orderKey"]})
+
+
+@use("agg_custom", f"SELECT o_orderstatus AS status, {total('o_totalprice')} / count(DISTINCT o_custkey) AS \"perCustomer\" FROM orders GROUP BY 1")
+def _(e: Engine) -> DataFrame:
+    ratio = Measure(None, "perCustomer", "CUSTOM", "MONEY", formula=lambda c: F.sum(c("o_totalprice").cast("decimal(18,4)")).cast("double") / F.count_distinct(c("o_custkey")))
+    e.register(QueryModel("OrdersRatio", replace(ORDERS, measures=(*ORDERS.measures, ratio))))
+    return e.rows("OrdersRatio", {"columns": ["status", "perCustomer"], "groupBy": ["status"]})
+
+
+def _renamed(e: Engine) -> None:
+    e.add_source("loud", lambda name: e.frame_of(name).withColumn("c_name", F.upper(F.concat(F.col("c_name"), F.lit(" x")))) if name == "customer" else e.frame_of(name))
+
+
+@use("dimension_data_source", f"SELECT o_orderkey AS \"orderKey\", upper(c_name || ' x') AS \"customer$caption\" FROM {OC}")
+def _(e: Engine) -> DataFrame:
+    _renamed(e)
+    loud = tuple(replace(d, data_source="loud") for d in ORDERS.dimensions)
+    e.register(QueryModel("OrdersLoud", replace(ORDERS, dimensions=loud)))
+    return e.rows("OrdersLoud", {"columns": ["orderKey", "customer$caption"]})
+
+
+@use("conditional_data_source", "SELECT c_custkey, upper(c_name || ' x') AS c_name FROM customer")
+def _(e: Engine) -> DataFrame:
+    _renamed(e)
+    chosen = datasets.Conditional().add("SELECT c_custkey, c_name FROM {customer}", lambda args: args["loud"], "loud").add("SELECT c_custkey, c_name FROM {customer}")
+    return chosen.run(e, {"loud": True})
+
+
+@use("script_literal_mark", "SELECT o_orderkey, '?' AS sign FROM orders WHERE o_orderpriority = '2-HIGH' AND o_custkey IN (1, 2, 4, 7)")
+def _(e: Engine) -> DataFrame:
+    return datasets.Script("SELECT o_orderkey, '?' AS sign FROM {orders} WHERE o_orderstatus <> 'a?b'").optional("AND o_orderpriority = ? AND '?' = '?'", "2-HIGH").in_list("AND o_custkey IN", [1, 2, 4, 7]).run(e)
+
+
+@use("helper_columns", """SELECT o_orderkey, o_orderkey % 2 <> 0 AS odd, CASE WHEN o_custkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END ELSE CAST(o_orderkey % 2 AS DOUBLE) / (o_custkey % 3) END AS ratio,
+  o_orderkey & 5 AS bits, CASE WHEN o_orderkey % 2 <> 0 THEN 'odd' ELSE 'even' END AS word, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders""")
+def _(e: Engine) -> DataFrame:
+    c, odd = scripting.COLUMNS, F.col("o_orderkey") % 2
+    made = {"odd": c["truthy"](odd), "ratio": c["divide"](odd, F.col("o_custkey") % 3), "bits": c["bit_and"](F.col("o_orderkey"), F.lit(5)), "word": c["iif"](odd, F.lit("odd"), F.lit("even")), "day": c["date_text"](F.col("o_orderdate"))}
+    return e.frame_of("orders").select("o_orderkey", *[v.alias(k) for k, v in made.items()], c["quarter"](F.col("o_orderdate")).alias("quarter"), c["last_day"](F.col("o_orderdate")).alias("month_end"))
+
+
+@use("metadata_fields", " UNION ALL ".join(f"SELECT '{n}' AS name, '{k}' AS kind" for n, k in (("orderKey", "property"), ("status", "property"), ("totalPrice", "measure"))))
+def _(e: Engine) -> DataFrame:
+    fields = e.describe("Orders")["fields"]
+    return e.spark.createDataFrame([(f["name"], f["kind"]) for f in fields if f["name"] in ("orderKey", "status", "totalPrice")], "name string, kind string")
+
+
+@use("inspect_roles", "SELECT * FROM (VALUES ('c_custkey', 'key'), ('c_acctbal', 'measure')) AS t(name, role)")
+def _(e: Engine) -> DataFrame:
+    found = inspection.describe_columns(e.frame_of("customer"))
+    return e.spark.createDataFrame([(c["column"], c["role"]) for c in found if c["column"] in ("c_custkey", "c_acctbal")], "name string, role string")
+
+
 # -- beyond the reference: windows, set operations, cubes, event time
 @use("extra_window_rank", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 3")
 def _(e: Engine) -> DataFrame:

@@ -48,13 +48,13 @@ def test_flagship(spark, sf_dir):
     assert catalog.flagship(spark, sf_dir).columns == ["order_customer_nation$caption", "revenue", "n"]
 
 
-@pytest.mark.parametrize("key", ["dimension_expands_whole", "agg_none_is_key_whole", "expr_now_whole"])
+@pytest.mark.parametrize("key", ["dimension_expands", "agg_none_is_key", "expr_now"])
 def test_whole_table_is_seen(spark, sf_dir, key):
     df, orders = catalog.QUERIES[key](spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert sum(r.orderCount for r in df.collect()) == orders if "orderCount" in df.columns else df.count() == orders
 
 
-@pytest.mark.parametrize("key", ["order_by_whole", "order_default_whole", "order_by_unselected_whole", "order_nulls_whole", "order_nulls_last_whole"])
+@pytest.mark.parametrize("key", ["order_by", "order_default", "order_by_unselected", "order_nulls", "order_nulls_last"])
 def test_whole_order_is_returned(spark, sf_dir, key):
     table = "documents" if "nulls" in key else "orders"
     places = [r.place for r in catalog.QUERIES[key](spark, sf_dir).collect()]
