@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, the separators of words in most contracts.
 BLANK = r"[\x20\x09-\x0D]"
 
+#: Memory that a table sent to every executor may take there.
+BROADCAST_BYTES = 48 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset and the
+    executors are threads of the driver (tests).  Raises RuntimeError where it is unset on a cluster."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = getattr(shared_dir, "own", None)
         if not named:
             named = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -43,27 +50,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(remove_stored)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
-def remove_stored() -> None:
-    """Deletes the tables that stored() has written; only once nothing reads them any more."""
-    for spark, path in _written:
+def remove_stored(*tables: DataFrame) -> None:
+    """Deletes these tables that stored() has written, or all of them; only once nothing reads them any more."""
+    paths = {t.stored_at for t in tables}
+    gone = [(spark, path) for spark, path in _written if not tables or path in paths]
+    for spark, path in gone:
         context = spark.sparkContext
-        if context._jsc is None or context._jsc.sc().isStopped():
-            continue
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    _written.clear()
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove((spark, path))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast where it has no more than so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast where its rows take no more than so many bytes.  It is read to be measured, so it should be a
+    stored table or a cheap selection from one."""
+    fixed = 48 + 8 * len(df.columns)  # a hash table's entry, and what each value takes at least
+    wide = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema if f.dataType.simpleString().startswith(("string", "binary", "array", "struct", "map"))]
+    taken = df.agg(F.sum(sum(wide, F.lit(fixed)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if taken <= most else df
 
 
 def ascii_lower(c: Column) -> Column:

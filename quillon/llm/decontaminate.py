@@ -16,17 +16,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, bounded, stored
+from quillon.llm.common import BROADCAST_BYTES, ascii_lower, bounded, stored
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased; their number is the same.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class DecontaminationSettings:
     window: int = 10
-    broadcast_terms: int = 2_000_000  # up to so many terms, windows or documents are sent to every executor; beyond, joined by a shuffle
+    broadcast_bytes: int = BROADCAST_BYTES  # of terms, windows or documents that are sent to every executor; beyond, joined by a shuffle
 
 
 def tokens(text: Column) -> Column:
@@ -41,7 +39,7 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", tokens(F.col("text")).alias("w")).select("item_id", F.explode(made).alias("words"))
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, most: int = DecontaminationSettings.broadcast_terms) -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """Postings (term_id, doc_id, pos), written to shared storage.  vocabulary: (term, term_id); without it every term is
     kept and term_id is the term itself.  Null texts have no postings."""
     rows = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
@@ -52,11 +50,13 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, most: int
     return stored(rows.select("term_id", "doc_id", "pos").sortWithinPartitions("term_id", "doc_id", "pos"), "postings")
 
 
-def ranked_windows(words: DataFrame, index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def ranked_windows(words: DataFrame, index: DataFrame, vocabulary: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """(window_id, offset, term_id, rank, k): a window's terms from the rarest on; windows with an unseen term are gone."""
     seen = index.groupBy("term_id").agg(F.count("*").alias("n"))
+    # a row per term of the vocabulary that the corpus has: sent to all, so that a frequent term's windows stay where they are
+    seen = bounded(stored(vocabulary.join(seen, "term_id"), "seen"), most)
     placed = words.select("window_id", F.size("words").alias("k"), F.posexplode("words").alias("offset", "term"))
-    known = placed.join(vocabulary, "term").join(seen, "term_id")
+    known = placed.join(seen, "term")
     whole, order = Window.partitionBy("window_id"), Window.partitionBy("window_id").orderBy("n", "offset")
     return (
         known.withColumn("there", F.count("*").over(whole)).withColumn("rank", F.row_number().over(order) - 1)
@@ -64,9 +64,9 @@ def ranked_windows(words: DataFrame, index: DataFrame, vocabulary: DataFrame) ->
     )
 
 
-def phrase_matches(index: DataFrame, words: DataFrame, vocabulary: DataFrame, most: int = DecontaminationSettings.broadcast_terms) -> DataFrame:
+def phrase_matches(index: DataFrame, words: DataFrame, vocabulary: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, window_id, start, k) of each place where a window's words stand in a document in their order."""
-    ranked = stored(ranked_windows(words, index, vocabulary), "ranked")
+    ranked = stored(ranked_windows(words, index, vocabulary, most), "ranked")
 
     def list_of(low: int, high: int) -> DataFrame:
         return ranked.filter((F.col("rank") >= low) & (F.col("rank") < high))
@@ -77,7 +77,7 @@ def phrase_matches(index: DataFrame, words: DataFrame, vocabulary: DataFrame, mo
     # windows of one word are done
     met = intersect(found.filter("k > 1"), index, second)
     left = stored(met.drop("hits").unionByName(found.filter("k = 1")), "candidates")
-    docs = bounded(left.select("doc_id").distinct(), most)
+    docs = bounded(stored(left.select("doc_id").distinct(), "candidate-ids"), most)
     others = bounded(list_of(2, 1 << 30).select("window_id", "term_id", "offset"), most)
     rest = index.join(docs, index["doc_id"].eqNullSafe(docs["doc_id"]), "left_semi")
     long = intersect(left.filter("k > 2"), rest, others).filter(F.col("hits") == F.col("k") - 2).drop("hits")
@@ -92,10 +92,10 @@ def intersect(found: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame
     return met.groupBy(F.col("d").alias("doc_id"), "window_id", "start", "k").agg(F.count_distinct("p").alias("hits"))
 
 
-def proximity_matches(index: DataFrame, words: DataFrame, vocabulary: DataFrame, slack: int = 5, most: int = DecontaminationSettings.broadcast_terms) -> DataFrame:
+def proximity_matches(index: DataFrame, words: DataFrame, vocabulary: DataFrame, slack: int = 5, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, window_id, pos): places of a window's rarest term with all its other terms, in any order, no further away
     than the window is long plus slack.  A term that a window has twice need stand there but once."""
-    ranked = stored(ranked_windows(words, index, vocabulary), "near")
+    ranked = stored(ranked_windows(words, index, vocabulary, most), "near")
     rarest = bounded(ranked.filter("rank = 0").select("window_id", F.col("term_id").alias("t"), "k"), most)
     anchors = index.join(rarest, F.col("term_id") == F.col("t")).select(F.col("doc_id").alias("d"), "window_id", F.col("pos").alias("at"), "k")
     terms = bounded(ranked.select("window_id", F.col("term_id").alias("t")).distinct(), most)
@@ -132,8 +132,8 @@ def item_windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame, Dat
 def matches(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings) -> tuple[DataFrame, DataFrame]:
     """Places of the items' windows in docs, stored, and the windows' items."""
     words, owners, vocabulary = item_windows(items, settings.window)
-    index = build_index(docs, vocabulary, settings.broadcast_terms)
-    return stored(phrase_matches(index, words, vocabulary, settings.broadcast_terms), "matches"), owners
+    index = build_index(docs, vocabulary, settings.broadcast_bytes)
+    return stored(phrase_matches(index, words, vocabulary, settings.broadcast_bytes), "matches"), owners
 
 
 def contaminated_ids(docs: DataFrame, items: DataFrame, settings: DecontaminationSettings = DecontaminationSettings()) -> DataFrame:
@@ -149,10 +149,10 @@ def contamination(docs: DataFrame, items: DataFrame, settings: DecontaminationSe
     """
     found, owners = matches(docs, items, settings)
     hits = found.groupBy("doc_id").agg(covered(F.sort_array(F.collect_set(F.struct("start", "k")))).alias("n_hit"))
-    whose = found.select("doc_id", "window_id").distinct().join(bounded(owners, settings.broadcast_terms), "window_id")
+    whose = found.select("doc_id", "window_id").distinct().join(bounded(stored(owners, "owners"), settings.broadcast_bytes), "window_id")
     named = whose.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     stats = hits.join(named, hits["doc_id"].eqNullSafe(named["doc_id"])).select(hits["doc_id"].alias("d"), "n_hit", "items")
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"))
+    counted = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n_words"))
     return counted.join(stats, counted["doc_id"].eqNullSafe(stats["d"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )

@@ -46,7 +46,7 @@ def test_against_brute_force(spark, odd_texts):
     assert len(got) == len(docs)
     for g in got:
         assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == want[g.doc_id], g.doc_id
-    far = D.DecontaminationSettings(broadcast_terms=0)
+    far = D.DecontaminationSettings(broadcast_bytes=0)
     assert sorted(map(tuple, D.digests(D.contamination(frame(spark, docs), items_frame(spark, items), far)).collect())) == sorted(map(tuple, got))
     assert sorted(r[0] for r in D.contaminated_ids(frame(spark, docs), items_frame(spark, items)).collect()) == sorted(i for i in want if want[i][1])
 
