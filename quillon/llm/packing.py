@@ -12,8 +12,10 @@ last few sequences are all that is lost against packing at one place.  Sequence
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,48 +37,79 @@ class PackSettings:
 
 
 #: Words whose ids a worker keeps; two generations of them, so memory is bounded and frequent words stay.
-KEPT_WORDS = 450_000
+KEPT_WORDS = 320_000
+LONGEST = 64  # bytes of a word that is kept
+PART_BYTES = 1 << 20  # of a text that is split into words at a time
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: Lower-case words of a-z and the accented letters from U+00DF to U+00FF.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+LAST_BLANK = re.compile(rb".*[ \t\n\x0b\x0c\r]", re.S)
+FIRST_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Token ids by words between ASCII white space, which the tokenizer drops and never joins across; so a text's ids
-    are its words' ids in their order, and a word need be tokenised but once."""
+    are its words' ids in their order, and a word need be tokenised but once.  The dictionary is of the words' ids.
+
+    The tokenizer lower-cases, and parts a run of marks from the letter or digit before it; so words are looked up in lower
+    case, and one with marks at its end is put together from its two parts.  Texts that may hold special tokens, which are
+    told by case, are taken word by word as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
+        # how the model spells the bytes of letters beyond ASCII
+        self.spelled = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def ids(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; a null one is empty.  A long text is worked on in parts."""
+        for text in texts:
+            yield b"".join(map(self._ids_of, parts_of(text or b"")))
+
+    def _ids_of(self, text: bytes) -> bytes:
+        words = text.split() if b"<|" in text else text.lower().split()
+        found = b"".join(map(self.__getitem__, words))
+        if len(self) > KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return found
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            n = len(w.rstrip(MARKS))
+            if 0 < n < len(w) and w[n - 1] in LETTERS and b"<|" not in w:
+                ids = self[w[:n]] + self[w[n:]]
+            elif PLAIN(w):  # one unit for the tokenizer with nothing to normalise, so its model takes it, which is faster
+                ids = pack_ids([t.id for t in self.model.tokenize(w.decode().translate(self.spelled))])
+            else:
+                ids = pack_ids(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if len(w) <= LONGEST:
+            self[w] = ids
+        return ids
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        young, old, new = self.young, self.old, []
-        for w in set().union(*split):
-            if w not in young:
-                if (known := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    young[w] = known
-        for at in range(0, len(new), 2000):
-            young.update(self._words(new[at : at + 2000]))
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
-        if len(young) > KEPT_WORDS:
-            self.young, self.old = {}, young
-        return out
-
-    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words by one call over all of them, which is much faster than one each; a token's place tells its word."""
-        texts = [w.decode("utf-8") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cuts = np.searchsorted([a for a, _ in found.offsets], starts)
-        cuts = cuts.tolist()
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True)}
+
+def parts_of(text: bytes) -> Iterator[bytes]:
+    """A text cut after white space into parts of so many bytes, or of one word."""
+    at = 0
+    while at < len(text):
+        cut = LAST_BLANK.match(text, at, at + PART_BYTES) if len(text) - at > PART_BYTES else None
+        if cut is None:
+            cut = FIRST_BLANK.search(text, min(len(text), at + PART_BYTES))
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def tokenizer_at(path: str) -> WordTokenizer:
@@ -90,37 +123,41 @@ def pieces(docs: DataFrame, path: str, settings: PackSettings = PackSettings(),
 
     Every row of docs is a document of its own, repeated rows and null ids too.
     """
-    end, most = np.array([end_id], "<u4").tobytes(), 4 * settings.tokens
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
 
+    end, most = np.array([end_id], "<u4").tobytes(), 4 * settings.tokens
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(path)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                rows, place = [], []
-                for i, got in enumerate(tokenizer.ids(texts[at : at + 256]), at):
-                    whole = got + end
-                    for k, cut in enumerate(range(0, len(whole), most)):
-                        part = whole[cut : cut + most]
-                        rows.append((k, cut // 4, len(part) // 4, zlib.crc32(part), part))
-                        place.append(i)
-                piece, start, length, crc, part = zip(*rows, strict=True)
-                columns = [ids.take(pa.array(place)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    columns.append(pa.array(part, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+            ids, rows, place, size = batch.column("doc_id"), [], [], 0
+            texts = batch.column("text").cast(pa.large_binary())
+            for i, got in enumerate(tokenizer.ids(x.as_py() for x in texts)):
+                whole = got + end
+                for k, cut in enumerate(range(0, len(whole), most)):
+                    part = whole[cut : cut + most]
+                    rows.append((k, cut // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+                    place.append(i)
+                size += len(whole) if keep_ids else 0
+                if size > (8 << 20) or i + 1 == len(texts):
+                    piece, start, length, crc, part = zip(*rows, strict=True)
+                    columns = [ids.take(pa.array(place)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if keep_ids:
+                        columns.append(pa.array(part, pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    rows, place, size = [], [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, s: PackSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Bin number and offset of each length; lengths come from the longest on."""
+    """Bin number and offset of each length; lengths come from the longest on.  Of equally good sequences the first opened
+    is taken."""
     capacity = np.array([s.tokens, s.documents, s.attention], float)
-    weight = np.array(s.weights)
+    wt, wd, wa = s.weights
     needs = np.column_stack([lengths, np.ones_like(lengths), lengths.astype(float) ** 2]) / capacity
     least = needs.min(axis=0) if len(needs) else None
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -132,9 +169,12 @@ def best_fit(lengths: np.ndarray, s: PackSettings) -> tuple[np.ndarray, np.ndarr
         if len(fits):
             rest = free[fits]
             if s.score == "dot":
-                best = fits[np.argmin(rest @ (weight * need))]
+                a, b, c = (rest * need).T
             else:
-                best = fits[np.argmin(((rest - need) ** 2) @ weight)]
+                a, b, c = ((rest - need) ** 2).T
+            score = wt * a + wd * b + wa * c
+            ties = fits[score == score.min()]
+            best = ties[0] if len(ties) == 1 else ties[np.argmin(open_number[ties])]
         else:
             best, opened = opened, opened + 1
             open_number[best], open_free[best] = numbers, 1.0
