@@ -1,9 +1,10 @@
 """URL filter by a tree of path templates.
 
 Every url falls under a template of its host: digits of a path become ``{n}``, segments that vary too much to be names
-become ``*``, and sibling branches whose labelled pages look alike are merged.  A template whose labelled pages are
-nearly all bad, smoothed by a prior, is rejected with all its unlabelled pages.  Explicit rules come first; the pages
-that they decide are the labels.
+become ``*``, and sibling branches whose labelled pages look alike are merged.  A template whose labelled pages are nearly all
+bad is rejected with all its unlabelled pages.  Its purity is smoothed by that of its parent branch on the host, that by
+the same template's on all hosts, and that by a prior; so a template without labels of its own is judged by those that it
+falls back on, and allowed where they are too few.  Explicit rules come first; the pages that they decide are the labels.
 
 The tree is built from one row per (host, digit-free path) with counts, so its size follows the templates, not the pages;
 each aggregation starts with a partial one, so a host with a third of all pages costs no single task its rows.
@@ -40,7 +41,8 @@ class TreeSettings:
     variable_share: float = 0.5  # distinct names per page from which on a position is variable
     merge_depth: int = 4  # positions, counted from the root, at which siblings may be merged
     similar: float = 3.84  # chi-square that the bad shares of two branches may differ by
-    min_labelled: int = 3  # labelled pages that a branch needs to be compared, and a template to be rejected
+    min_labelled: int = 3  # labelled pages that a branch needs to be compared, and that a rejection needs, fallbacks included
+    min_hosts: int = 2  # hosts with labels of a template that tell something about it on others
     prior_bad: float = 0.5
     prior_weight: float = 4.0
     reject_at: float = 0.8
@@ -108,13 +110,22 @@ def template_verdicts(judged: DataFrame, s: TreeSettings) -> DataFrame:
     tree = parts.join(variable, "host", "left").withColumn(
         "template", F.transform("segs", lambda g, i: F.when(F.coalesce(F.array_contains("vary", i), F.lit(False)), F.lit("*")).otherwise(g))
     )
-    tree = checkpointed(tree.select("host", "_shape", "template", "bad", "labelled"))
+    tree = checkpointed(tree.select("host", "_shape", F.col("template").alias("plain"), "template", "bad", "labelled"))
     for depth in range(s.merge_depth, 0, -1):
         tree = checkpointed(merge_similar(tree, depth, s))  # read more than once below
-    final = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("k"))
-    purity = (F.col("b") + s.prior_weight * s.prior_bad) / (F.col("k") + s.prior_weight)
-    final = final.withColumn("rejected", (F.col("k") >= s.min_labelled) & (purity >= s.reject_at)).select("host", "template", "rejected")
-    return tree.select("host", "_shape", "template").join(final, ["host", "template"]).select("host", "_shape", F.array_join("template", "/").alias("template"), "rejected")
+    sums = lambda *by: tree.groupBy(*by).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("k"))
+    parent = F.slice("template", 1, F.size("template") - 1)
+    own = checkpointed(sums("host", "template").withColumn("parent", parent))
+    branches = own.groupBy("host", "parent").agg(F.sum("b").alias("pb"), F.sum("k").alias("pk"))
+    # by the template before merges, whose names other hosts share; a template that many hosts have is summed in part first
+    alike = sums("plain", "host").groupBy("plain").agg(F.sum("b").alias("gb"), F.sum("k").alias("gk"), F.count_if(F.col("k") > 0).alias("told"))
+    known = tree.select("host", "_shape", "plain", "template").join(own.join(branches, ["host", "parent"]), ["host", "template"]).join(alike, "plain")
+    w = F.lit(float(s.prior_weight))
+    anywhere = (F.col("gb") + w * s.prior_bad) / (F.col("gk") + w)
+    near = (F.col("pb") + w * anywhere) / (F.col("pk") + w)
+    purity = (F.col("b") + w * near) / (F.col("k") + w)
+    enough = (F.greatest("k", "pk") >= s.min_labelled) | (F.col("gk") >= s.min_labelled) & (F.col("told") >= s.min_hosts)
+    return known.select("host", "_shape", F.array_join("template", "/").alias("template"), (enough & (purity >= s.reject_at)).alias("rejected"))
 
 
 def merge_similar(tree: DataFrame, depth: int, s: TreeSettings) -> DataFrame:
@@ -135,5 +146,5 @@ def merge_similar(tree: DataFrame, depth: int, s: TreeSettings) -> DataFrame:
     )
     return (
         tree.join(merged.select("host", "template", "becomes"), ["host", "template"], "left")
-        .select("host", "_shape", F.coalesce("becomes", "template").alias("template"), "bad", "labelled")
+        .select("host", "_shape", "plain", F.coalesce("becomes", "template").alias("template"), "bad", "labelled")
     )

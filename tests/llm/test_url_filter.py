@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 
 from quillon.llm import url_filter as U
+from quillon.llm import url_sql
 from quillon.llm.queries import URL_RULES
 
 SCHEMA = "page_id bigint, url string, host string, verdict string"
@@ -51,6 +53,20 @@ def test_template_of_bad_pages_is_rejected(spark):
     assert {v for u, v, _ in own if "other" in u} == {"allow"}
 
 
+def test_pages_without_a_rule_follow_what_is_known_of_their_template(spark):
+    urls = [f"http://{h}.net/{lang}/post/{i}" for h in ("a", "b") for lang in ("de", "xx") for i in range(5)] + [f"http://example.net/en/post/{i}" for i in range(5)]
+    urls += [f"http://{h}.org/{lang}/post/{i}" for h in ("c", "d") for lang in ("de", "en", "fr", "new") for i in range(3)] + ["http://c.org/", None]
+    df = pages(spark, urls)
+    got = U.judge_urls(df, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template").collect()
+    own = {(r.path.split("/")[1], r.verdict) for r in got if r.rule is None and r.path.count("/") > 1}
+    assert own == {("de", "block"), ("en", "allow"), ("new", "allow")}
+    con = duckdb.connect()
+    held = df.select("page_id", "url").toPandas()
+    con.register("pages", held)
+    key = lambda r: r[0]
+    assert sorted(map(tuple, got), key=key) == sorted(con.sql(url_sql.sql_of(URL_RULES)).fetchall(), key=key)
+
+
 def test_variable_segments_become_wildcards(spark):
     urls = [f"http://h.test/user/{a}{b}{c}/posts" for a in "abc" for b in "defg" for c in "hij"]
     assert {r.template for r in U.judge_urls(pages(spark, urls), []).collect()} == {"/user/*/posts"}
