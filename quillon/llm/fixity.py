@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, stored
+from quillon.llm.common import BROADCAST_BYTES, bounded, stored
 
 FANOUT_BITS = 4
 
@@ -24,7 +24,7 @@ FANOUT_BITS = 4
 class FixitySettings:
     range_bytes: int = 1 << 16
     records_per_archive: int = 256  # of written archives
-    broadcast_nodes: int = 1_000_000  # up to so many differing nodes are sent to every executor; beyond, joined by a shuffle
+    broadcast_bytes: int = BROADCAST_BYTES  # of differing nodes that are sent to every executor; beyond, joined by a shuffle
 
 
 def record_text(page_id: Column, url: Column, payload: Column) -> Column:
@@ -46,10 +46,12 @@ def record_text(page_id: Column, url: Column, payload: Column) -> Column:
 def archive_records(pages: DataFrame, settings: FixitySettings = FixitySettings(), damage: Column | None = None) -> DataFrame:
     """Records (archive, offset, length, record_id, digest) of archives that hold so many page ids each, in their order.
 
-    Null ids are in archive -1; repeated rows are records of their own.  damage: the payload that is found in place of
+    Null ids are in archives of their own, below those of any id and dealt out by their content's hash, so that no archive
+    gathers them all; repeated rows are records of their own.  damage: the payload that is found in place of
     html, null where the record is lost; the layout stays that of the sound archive.
     """
-    archive = F.coalesce(F.floor(F.col("page_id") / settings.records_per_archive), F.lit(-1)).cast("bigint").alias("archive")
+    nameless = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("url", "html"), F.lit(1 << 16))
+    archive = F.coalesce(F.floor(F.col("page_id") / settings.records_per_archive), nameless).cast("bigint").alias("archive")
     sound = record_text(F.col("page_id"), F.col("url"), F.col("html"))
     found = sound if damage is None else F.when(damage.isNotNull(), record_text(F.col("page_id"), F.col("url"), damage))
     rows = pages.select(archive, F.col("page_id").alias("record_id"), F.octet_length(sound).cast("bigint").alias("room"), F.octet_length(found).cast("bigint").alias("length"), F.sha2(found, 256).alias("digest"), F.sha2(sound, 256).alias("_tie"))
@@ -109,9 +111,9 @@ def audit(first: DataFrame, second: DataFrame, settings: FixitySettings = Fixity
     tree = tree_levels(records, levels, settings)
     wrong = differing(tree[-1])
     for level in reversed(tree[:-1]):
-        parents = bounded(stored(wrong.withColumnRenamed("node", "up"), "wrong"), settings.broadcast_nodes)
+        parents = bounded(stored(wrong.withColumnRenamed("node", "up"), "wrong"), settings.broadcast_bytes)
         wrong = differing(level.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(parents, ["archive", "up"], "left_semi"))
-    ranges = bounded(stored(wrong.withColumnRenamed("node", "range"), "wrong"), settings.broadcast_nodes)
+    ranges = bounded(stored(wrong.withColumnRenamed("node", "range"), "wrong"), settings.broadcast_bytes)
     within = records.withColumn("range", F.floor(F.col("offset") / settings.range_bytes).cast("bigint")).join(ranges, ["archive", "range"], "left_semi")
     sides = [(0, "expected"), (1, "found")]
     met = within.groupBy("archive", "offset", "record_id").agg(

@@ -33,6 +33,17 @@ def test_faults_are_located(spark):
     assert [r.record_id for r in extra] == [6]
 
 
+def test_null_ids_and_long_texts(spark):
+    """Rows without an id share no archive with those that have one, negative ones among them; a very long text is a record."""
+    rows = [(None, f"u{i}", f"<p>{i}") for i in range(5)] + [(-3, "v", "x" * 3_000_000), (-256, "w", None)]
+    found = fixity.archive_records(pages(spark, rows)).collect()
+    nameless = {r.archive for r in found if r.record_id is None}
+    assert len(nameless) == 5 and {r.archive for r in found if r.record_id is not None} == {-1}
+    bad = F.when(F.col("page_id") == -3, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    damaged = fixity.archive_records(pages(spark, rows), damage=F.coalesce(bad, F.lit("")))
+    assert [(r.archive, r.record_id, r.fault) for r in fixity.audit(fixity.archive_records(pages(spark, rows)), damaged).collect()] == [(-1, -3, "altered")]
+
+
 def test_empty(spark):
     none = fixity.archive_records(pages(spark, []))
     assert fixity.audit(none, none).count() == 0
