@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, let, words_of
+from quillon.llm.common import BROADCAST_BYTES, bounded, let, stored, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -26,7 +26,7 @@ class RatioSettings:
     buckets: int = 10_000
     prior: float = 5.0  # n-grams of the corpus' own distribution that each bucket's trusted count starts from
     threshold: float = -0.06  # mean log ratio, in nats, that a kept document has at least
-    broadcast_ids: int = 4_000_000  # up to so many trusted ids are sent to all executors; beyond, ids are joined by a shuffle
+    broadcast_bytes: int = BROADCAST_BYTES  # of trusted ids that are sent to all executors; beyond, documents are joined by a shuffle
 
 
 def ngram_buckets(words: Column, buckets: int) -> Column:
@@ -47,7 +47,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, settings: RatioSettings = Ra
     has a ratio near 0 and a document doesn't fall for words that it alone has.  Empty inputs give ratios of zero; a null doc_id is never trusted.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    ids = bounded(ids.withColumn("_trusted", F.lit(True)), settings.broadcast_ids)
+    ids = bounded(stored(ids.withColumn("_trusted", F.lit(True)), "trusted"), settings.broadcast_bytes)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
     counts = (
         marked.select(F.coalesce("_trusted", F.lit(False)).alias("t"), F.explode(ngram_buckets(words_of(F.col("text")), settings.buckets)).alias("b"))

@@ -39,7 +39,7 @@ def test_ratios_and_scores(spark, prose):
     trusted = spark.createDataFrame([(i,) for i in range(20)] + [(None,), (3,), (777,)], "doc_id bigint")
     s = R.RatioSettings(buckets=500)
     ratios = R.log_ratios(docs, trusted, s)
-    assert ratios == R.log_ratios(docs.repartition(7), trusted, R.RatioSettings(buckets=500, broadcast_ids=1))
+    assert ratios == R.log_ratios(docs.repartition(7), trusted, R.RatioSettings(buckets=500, broadcast_bytes=1))
     buckets = {r.doc_id: r.b for r in docs.select("doc_id", R.ngram_buckets(R.words_of(docs.text), 500).alias("b")).collect()}
     raw, target = collections.Counter(), collections.Counter()
     for i, b in buckets.items():
