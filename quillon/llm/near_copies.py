@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard similarity of their texts' word runs: MinHash candidates, each verified exactly.
+"""Near copies by the Jaccard similarity of their texts' word runs: Golay keys, then MinHash candidates, each verified exactly.
 
-A text is the set of its runs of five words; texts of one set are one node.  Of 120 permutations of the runs' hashes the
+A text is the set of its runs of five words; texts of one set are one node.  First the fingerprints of the runs are linked
+by operator 4 (simhash: Golay keys, two differing bits at most), and each member of a class is compared with one node of it,
+so that copies and the closest near copies are settled by a comparison each.  Two bits are too few for most pairs of
+similarity 0.8 (their fingerprints differ in ten), so what that leaves apart is searched further.  Of 120 permutations of the runs' hashes the
 least values are cut into 24 bands of five, and nodes that share a band are candidates: a pair of similarity 0.8 is one with
 a probability of 1 - (1 - 0.8^5)^24, over 0.9999.  Every pair that is linked has been compared run by run.
 
@@ -21,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, stored
-from quillon.llm.simhash import components, first_rows, shingle_hashes
+from quillon.llm.common import BROADCAST_BYTES, bounded, stored
+from quillon.llm.simhash import SimHashSettings, components, first_rows, fold, linked_prints, shingle_hashes
 
 
 @dataclass(frozen=True)
@@ -56,16 +59,16 @@ def band_keys(runs: np.ndarray, settings: CopySettings) -> list[int]:
 
 
 def mark_column(text: Column, settings: CopySettings) -> Column:
-    """node: a 64-bit hash of the set of runs; n: its size; keys."""
+    """node: a 64-bit hash of the set of runs; n: its size; fp: operator 4's fingerprint of the set; keys."""
 
-    @F.pandas_udf("node bigint, n int, keys array<bigint>")
+    @F.pandas_udf("node bigint, n int, fp bigint, keys array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
         found = []
         for t in texts:
             runs = runs_of(t, settings.shingle)
             node = xxhash.xxh64_intdigest(runs.tobytes(), 42)
-            found.append((node - (1 << 64) if node >> 63 else node, len(runs), band_keys(runs, settings)))
-        return pd.DataFrame(found, columns=["node", "n", "keys"])
+            found.append((node - (1 << 64) if node >> 63 else node, len(runs), fold(runs), band_keys(runs, settings)))
+        return pd.DataFrame(found, columns=["node", "n", "fp", "keys"])
 
     return run(text)
 
@@ -128,23 +131,44 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, settings: Copy
     return stored(pairs.join(b, "b").join(a, "a").filter(alike_column(F.col("text_a"), F.col("text_b"), settings)).select("a", "b"), "alike")
 
 
+def golay_links(rows: DataFrame, nodes: DataFrame, settings: CopySettings, most: int) -> DataFrame:
+    """Links of the nodes of operator 4's classes of fingerprints to the least node of each, where their texts are similar
+    enough."""
+    prints = nodes.select("node", "n", "fp")
+    classes = components(linked_prints(prints.select("fp").distinct(), SimHashSettings(settings.shingle)))
+    placed = prints.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("class"))
+    least = placed.groupBy("class").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).filter("size > 1")
+    met = placed.join(bounded(stored(least, "least"), most), "class").filter(F.col("node") != F.col("least.node"))
+    fits = F.least("n", "least.n") / F.greatest("n", "least.n") >= settings.least
+    return verified(met.filter(fits).select(F.col("least.node").alias("a"), F.col("node").alias("b")), rows, nodes, settings, most)
+
+
 def linked_nodes(rows: DataFrame, nodes: DataFrame, settings: CopySettings, most: int) -> DataFrame:
     """Links (a, b), a < b, that connect the same nodes as all similar pairs of all buckets do."""
-    keyed = stored(nodes.select("node", "n", F.explode("keys").alias("key")), "bands")
+    first = golay_links(rows, nodes, settings, most)
+    settled = components(first).withColumnRenamed("root", "found")
+    return first.union(band_links(rows, nodes, settled, settings, most)).distinct()
+
+
+def band_links(rows: DataFrame, nodes: DataFrame, settled: DataFrame, settings: CopySettings, most: int) -> DataFrame:
+    """Links that, with those that gave the classes settled (node, found), connect all similar pairs of all buckets."""
+    rooted = nodes.join(settled, "node", "left").withColumn("root", F.coalesce("found", "node"))
+    keyed = stored(rooted.select("node", "n", "root", F.explode("keys").alias("key")), "bands")
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = stored(keyed.join(bounded(sizes, most), "key"), "shared")
     small, large = (shared.filter(F.col("size") <= settings.pair_limit), shared.filter(F.col("size") > settings.pair_limit))
-    pairs = pairs_of(small, small, "l.node < r.node", settings)
+    pairs = pairs_of(small, small, "l.node < r.node and l.root <> r.root", settings)
     if large.isEmpty():
         return verified(pairs, rows, nodes, settings, most)
     other = F.xxhash64("node")
     chosen = large.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", other), F.max_by("node", other))).alias("nodes"))
-    leaders = large.join(bounded(chosen.select("key", F.explode("nodes").alias("node")), most), ["key", "node"], "left_semi")
-    pairs = pairs.union(pairs_of(large, bounded(stored(leaders, "leaders"), most), "l.node <> r.node", settings)).distinct()
+    leaders = large.join(bounded(stored(chosen.select("key", F.explode("nodes").alias("node")), "chosen"), most), ["key", "node"], "left_semi")
+    pairs = pairs.union(pairs_of(large, bounded(stored(leaders, "leaders"), most), "l.root <> r.root", settings)).distinct()
     links = verified(pairs, rows, nodes, settings, most)
     # what the leaders leave apart
-    roots = components(links).withColumnRenamed("root", "found")
-    held = stored(large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("root")), "held")
+    tied = settled.filter("node <> found").select(F.col("found").alias("a"), F.col("node").alias("b"))
+    roots = components(links.union(tied)).withColumnRenamed("root", "found")
+    held = stored(large.drop("root").join(roots, "node", "left").select("key", "node", "n", F.coalesce("found", "node").alias("root")), "held")
     members = stored(held.join(bounded(mixed_keys(held), most), "key", "left_semi").select("node", "n", "root").distinct(), "members")
     if members.isEmpty():
         return links
@@ -156,13 +180,13 @@ def linked_nodes(rows: DataFrame, nodes: DataFrame, settings: CopySettings, most
     return links.union(verified(pairs_of(mixed, bounded(others, most), f"l.root <> r.root and {room}", settings), rows, nodes, settings, most)).distinct()
 
 
-def first_of_each_class(docs: DataFrame, settings: CopySettings = CopySettings(), most: int = 1_000_000) -> DataFrame:
+def first_of_each_class(docs: DataFrame, settings: CopySettings = CopySettings(), most: int = BROADCAST_BYTES) -> DataFrame:
     """docs with one row of each class of near copies, that of the least doc_id.  Each row is judged by its own text, and
     goes only if another row of its class stays.  Rows without an id can't be told apart and all stay.
 
-    Texts without words are one class.  Tables of up to `most` rows are broadcast.
+    Texts without words are one class.  Tables of up to `most` bytes are broadcast.
     """
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), mark_column(F.col("text"), settings).alias("m"))
     rows = stored(marked.select("doc", "row", "m.*"), "rows")  # from here on a row's number is fixed
-    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     return first_rows(rows, components(linked_nodes(rows, nodes, settings, most)), most)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded, stored
+from quillon.llm.common import BROADCAST_BYTES, bounded, remove_stored, stored
 
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -176,7 +176,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(lower, "b")
         small = hung.select(F.col("m").alias("a"), "b").union(hung.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        edges = stored(small, "small")
+        before, edges = edges, stored(small, "small")
+        remove_stored(large, before)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("s")).first()
         if now == last:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, settings: SimHashSettings = SimHashSettings
     return marked.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_class(docs: DataFrame, settings: SimHashSettings = SimHashSettings(), most: int = 4_000_000) -> DataFrame:
+def first_of_each_class(docs: DataFrame, settings: SimHashSettings = SimHashSettings(), most: int = BROADCAST_BYTES) -> DataFrame:
     """docs with one row of each class, that of the least doc_id.  Each row is judged by its own fingerprint, and goes only if
     another row of its class stays.  Rows without an id can't be told apart and all stay."""
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint_column(F.col("text"), settings).alias("node"))
