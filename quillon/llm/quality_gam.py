@@ -227,18 +227,15 @@ def learn(docs: DataFrame, labels: DataFrame, settings: GamSettings = GamSetting
     return fit(x, np.array([r["label"] for r in rows], float), settings)
 
 
-def score_texts(docs: DataFrame, model: Gam, column: str = "score") -> DataFrame:
-    """docs with the score of text in a further column; one of that name is replaced."""
-    kept = [f for f in docs.schema if f.name != column]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{column}` double"
+def score_column(text: Column, model: Gam) -> Column:
+    """The score of a text, by whole batches; only texts go to the workers, so rows and their other columns stay where they
+    are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.scores(features(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], [*names, column])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.scores(features(texts)), pa.float64())
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return run(text)
 
 
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, settings: GamSettings = GamSettings()) -> tuple[Gam, Column]:
@@ -254,5 +251,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fol
     label; repeated rows get the same score.
     """
     model, held = trained(docs, labels, folds, held_fold, settings)
-    scored = score_texts(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score")
+    scored = docs.select("doc_id", held.alias("held_out"), score_column(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -406,22 +407,18 @@ def calibrate(net: Network, texts: list[str], labels: np.ndarray, use: np.ndarra
         net.scale, net.shift = float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def score_texts(docs: DataFrame, network: Network, column: str = "score") -> DataFrame:
-    """docs with the score of text in a further column."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # of the settings' size
-    kept = [f for f in docs.schema if f.name != column]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{column}` double"
+def score_column(text: Column, network: Network) -> Column:
+    """The score of a text; only texts go to the workers, so rows and their other columns stay where they are."""
+    shared = SparkContext._active_spark_context.broadcast(network)  # of the settings' size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = scorer.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.float64())], [*names, column])
+            found = [scorer.scores(batch.slice(a, 512).to_pylist()) for a in range(0, len(batch), 512)]
+            yield pa.array(np.concatenate(found or [np.empty(0)]), pa.float64())
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return run(text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings()) -> Network:
@@ -447,5 +444,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fol
     Null, empty and blank texts score 0; a null doc_id is never held out and has no label; repeated rows get one score.
     """
     network, held = trained(docs, labels, folds, held_fold, settings)
-    scored = score_texts(docs.select("doc_id", "text"), network).select("doc_id", held.alias("held_out"), "score")
+    scored = docs.select("doc_id", held.alias("held_out"), score_column(F.col("text"), network).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
