@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +38,13 @@ OWN_TAGS = ("p", "h1", "h2", "h3", "li", "div", "td", "pre", "blockquote", "figc
 GOOD_NAMES = ("article", "content", "post", "entry", "main", "story", "body", "text")
 BAD_NAMES = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "respond", "reply", "discussion", "disqus", "sidebar", "side", "widget", "related", "recommended", "popular", "share", "social", "follow", "newsletter", "subscribe", "signup", "login", "search", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "header", "masthead", "copyright", "legal", "disclaimer", "toolbar", "tags", "meta", "byline", "complementary", "contentinfo")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+BAD, GOOD = frozenset(BAD_NAMES), frozenset(GOOD_NAMES)
+#: A comment, a tag (an attribute's value is quoted, or goes up to white space or the tag's end), or a declaration.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[\s/]++|[^\s/><][^\s/>=<]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)>|<[!?][^>]*>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
@@ -46,14 +52,31 @@ UNSHOWN = re.compile(r"aria-hidden\s*=\s*[\"']?true|\bstyle\s*=\s*[\"'][^\"']*di
 NAME = re.compile(r"[a-z]+")
 
 
+@dataclass(eq=False)
+class Node:
+    """An open element; what its blocks inherit is kept here, so a block costs the same at any depth."""
+
+    name: str
+    parent: Node | None
+    depth: int
+    tags: frozenset[str]  # its own and its ancestors'
+    good: bool  # whether a class, id or role of these is of main text
+    bad: bool
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # code points inside links
-    path: tuple[int, ...]  # numbers of the open block elements, outermost first
-    tag: str
-    tags: frozenset[str]
-    names: frozenset[str]
+    node: Node
+
+    @property
+    def tag(self) -> str:
+        return self.node.name
+
+    @property
+    def tags(self) -> frozenset[str]:
+        return self.node.tags
 
 
 def attribute_names(attributes: str) -> frozenset[str]:
@@ -69,96 +92,142 @@ def is_hidden(attributes: str) -> bool:
     return bool(attributes) and (bool(HIDDEN.search(QUOTED.sub("", attributes))) or bool(UNSHOWN.search(attributes)))
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """Blocks with text, in page order; tolerant of unclosed and stray tags."""
-    page = page or ""
-    out: list[Block] = []
-    pieces: list[str] = []
-    linked, link_from, links = 0, 0, 0
-    stack: list[tuple[str, int, frozenset[str], frozenset[str]]] = []  # tag, number, tags and names down to it
-    serial, at, skip = 0, 0, []
-
-    def end_block() -> None:
-        nonlocal linked
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+class Reader:
+    """Reads a page into blocks; tolerant of unclosed and stray tags."""
+
+    def __init__(self, page: str):
+        self.page, self.out = page, []
+        self.pieces: list[str] = []
+        self.linked, self.in_link = 0, False
+        self.root = Node("", None, 0, frozenset(), False, False)
+        self.stack: list[Node] = [self.root]
+        self.open: Counter[str] = Counter()
+        self.skipped: list[str] = []  # elements open inside an unseen one, itself first
+        self.last_end: dict[str, int] = {}
+
+    def end_block(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
             if text:
-                tag, _, tags, names = stack[-1] if stack else ("", 0, frozenset(), frozenset())
-                out.append(Block(text, linked, tuple(s[1] for s in stack), tag, tags, names))
-            pieces.clear()
-        linked = 0
-
-    def add(chunk: str) -> None:
-        nonlocal linked
-        if chunk and not skip:
-            pieces.append(chunk)
-            if links:
-                linked += len(chunk)
-
-    end, raw_until = len(page), None
-    while at < end:
-        if raw_until:
-            stop = re.compile(rf"</{raw_until}\s*>", re.I).search(page, at)
-            at, raw_until = (stop.end() if stop else end), None
-            continue
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(m[1])
-        if skip:
-            if name == skip[-1] and closing:
-                skip.pop()
-            elif name == skip[-1] and name not in EMPTY:
-                skip.append(name)
-            continue
+                self.out.append(Block(text, self.linked, self.stack[-1]))
+            self.pieces.clear()
+        self.linked = 0
+
+    def text(self, chunk: str) -> None:
+        """A run of text, whose references are its own: one never goes on beyond a tag."""
+        if chunk and not self.skipped:
+            chunk = html.unescape(chunk) if "&" in chunk else chunk
+            self.pieces.append(chunk)
+            if self.in_link:
+                self.linked += len(chunk)
+
+    def close_to(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.open[node.name] -= 1
+        del self.stack[depth:]
+
+    def is_unclosed(self, name: str, at: int) -> bool:
+        """Whether no end tag of this name follows."""
+        if name not in self.last_end:
+            self.last_end[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}[\s/>]", self.page, re.I)), default=-1)
+        return self.last_end[name] < at
+
+    def still_skipped(self, name: str, closing: bool, at: int, empty: bool) -> bool:
+        """Follows a tag inside an unseen element; False where the tag ends that element and is to be read as any other.
+
+        An unseen element ends with its end tag, where a tag that implies its end begins, with the end of an element around
+        it, and, if it has no end tag at all, where a block begins.
+        """
+        inside = self.skipped
+        if closing:
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                return True
+            if self.open[name]:
+                inside.clear()
+                return False
+            return True
+        while inside and name in ENDED_BY.get(inside[-1], ()):
+            inside.pop()
+        if inside and name in BLOCKS and inside[0] in UNSEEN and self.is_unclosed(inside[0], at):
+            inside.clear()
+        if not inside:
+            return False
+        if not empty:
+            inside.append(name)
+        return True
+
+    def start(self, name: str, attributes: str) -> None:
+        for tag, enders in ENDED_BY.items():
+            if name in enders and self.open[tag]:
+                for i in range(len(self.stack) - 1, 0, -1):
+                    if self.stack[i].name == tag:
+                        self.close_to(i)
+                        break
+                    if self.stack[i].name in FENCE[tag]:
+                        break
+        if name == "hr":
+            return
+        over, own = self.stack[-1], attribute_names(attributes)
+        tags = over.tags if name in over.tags else over.tags | {name}
+        self.stack.append(Node(name, over, over.depth + 1, tags, over.good or not GOOD.isdisjoint(own), over.bad or not BAD.isdisjoint(own)))
+        self.open[name] += 1
+
+    def tag(self, name: str, closing: bool, attributes: str, at: int) -> str | None:
+        """Follows a tag; the name of an element whose content is to be passed over up to its end tag, if it begins one."""
+        empty = name in EMPTY or attributes.endswith("/") and name in ("svg", "math")
+        if self.skipped and self.still_skipped(name, closing, at, empty or name in RAW):
+            return name if name in RAW and not closing else None
         if name in RAW and not closing:
-            raw_until = name
-            continue
+            return name
         if name == "head":
-            continue
-        if not closing and name not in EMPTY and (name in UNSEEN or is_hidden(m[3])):
+            return None
+        if not closing and not empty and (name in UNSEEN or is_hidden(attributes)):
             if name in BLOCKS:
-                end_block()
-            skip.append(name)
-            continue
-        if name == "br":
-            pieces.append(" ")
+                self.end_block()
+                self.start(name, "")  # for the ends that it implies
+                self.close_to(len(self.stack) - 1 if self.stack[-1].name == name else len(self.stack))
+            self.skipped.append(name)
+        elif name == "br":
+            self.pieces.append(" ")
         elif name == "a":
-            links = 0 if closing else 1
+            self.in_link = not closing
         elif name in BLOCKS:
-            end_block()
-            links = 0
-            if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None:
-                    del stack[depth:]
-                continue
-            for tag, enders in ENDED_BY.items():
-                if name in enders:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in FENCE[tag]:
-                            break
-            if name == "hr":
-                continue
-            serial += 1
-            tags, names = (stack[-1][2], stack[-1][3]) if stack else (frozenset(), frozenset())
-            own = attribute_names(m[3])
-            stack.append((name, serial, tags | {name}, names | own if own else names))
-    end_block()
-    return out
+            self.end_block()
+            self.in_link = False
+            if not closing:
+                self.start(name, attributes)
+            elif self.open[name]:
+                self.close_to(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].name == name))
+        return None
+
+    def read(self) -> list[Block]:
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            m = TOKEN.search(page, at)
+            if m is None:
+                self.text(page[at:])
+                break
+            self.text(page[at : m.start()])
+            at = m.end()
+            if m[2] is not None:
+                over = self.tag(m[2].lower(), bool(m[1]), m[3], at)
+                if over:
+                    stop = RAW_END[over].search(page, at)
+                    at = stop.end() if stop else end
+        self.end_block()
+        return self.out
+
+
+RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """Blocks with text, in page order."""
+    return Reader(page or "").read()
 
 
 COLUMNS = ("bias", "log_chars", "link_share", "stops", "short", "first", "last", *(f"in_{t}" for t in TAG_NAMES), *(f"is_{t}" for t in OWN_TAGS), "good_name", "bad_name", "legal_sign")
-BAD, GOOD = frozenset(BAD_NAMES), frozenset(GOOD_NAMES)
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
@@ -171,7 +240,7 @@ def block_features(blocks: list[Block]) -> np.ndarray:
         x[i, 7 : 7 + len(TAG_NAMES)] = [t in b.tags for t in TAG_NAMES]
         at = 7 + len(TAG_NAMES)
         x[i, at : at + len(OWN_TAGS)] = [t == b.tag for t in OWN_TAGS]
-        x[i, -3:] = (not GOOD.isdisjoint(b.names), not BAD.isdisjoint(b.names), "©" in b.text)
+        x[i, -3:] = (b.node.good, b.node.bad, "©" in b.text)
     return x
 
 
@@ -267,21 +336,26 @@ class CutSettings:
     most: float = 12.0  # that a terminal's cost can be
 
 
+def steps_between(a: Node, b: Node) -> int:
+    """Length of the way from one element to another in the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def ties(blocks: list[Block], s: CutSettings) -> list[tuple[int, int, float]]:
     """Smoothness edges: each block to the next one, and to the next one of the same parent."""
     out: dict[tuple[int, int], float] = {}
-    last_of: dict[tuple[int, ...], int] = {}
+    last_of: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1]
-            common = 0
-            for m, n in zip(a.path, b.path, strict=False):
-                if m != n:
-                    break
-                common += 1
-            away = len(a.path) + len(b.path) - 2 * common
-            out[i - 1, i] = s.adjacent + s.family / (1 + away) ** 2
-        parent = b.path[:-1]
+            out[i - 1, i] = s.adjacent + s.family / (1 + steps_between(blocks[i - 1].node, b.node)) ** 2
+        parent = id(b.node.parent or b.node)
         before = last_of.get(parent)
         if before is not None:
             out[before, i] = out.get((before, i), 0) + s.family
@@ -316,18 +390,29 @@ def minimum_cut(gain: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
                 gain[j] += w if label[i] else -w
                 weight[j] -= w
                 todo.append(j)
-    if not left:
-        return label
-    nodes = sorted(left)
-    source, sink = n, n + 1
+    while left:
+        part, todo = set(), deque([left.pop()])
+        while todo:
+            i = todo.popleft()
+            part.add(i)
+            near = left.intersection(around[i])
+            left -= near
+            todo.extend(near)
+        label[cut_part(part, gain, around)] = True
+    return label
+
+
+def cut_part(nodes: set[int], gain: np.ndarray, around: list[dict[int, float]]) -> list[int]:
+    """The content nodes of the least cut of one connected part."""
+    source, sink = -1, -2
     room: dict[int, dict[int, float]] = {v: {} for v in (*nodes, source, sink)}
-    for i in nodes:
+    for i in sorted(nodes):
         if gain[i] > 0:
             room[source][i], room[i][source] = float(gain[i]), 0.0
         else:
             room[i][sink], room[sink][i] = float(-gain[i]), 0.0
         for j, w in around[i].items():
-            if j in left:
+            if j in nodes:
                 room[i][j] = w
     while True:
         came = {source: source}
@@ -339,7 +424,7 @@ def minimum_cut(gain: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
                     came[v] = u
                     queue.append(v)
         if sink not in came:
-            break
+            return [i for i in nodes if i in came]
         path, v = [], sink
         while v != source:
             path.append((came[v], v))
@@ -348,9 +433,6 @@ def minimum_cut(gain: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
         for a, b in path:
             room[a][b] -= flow
             room[b][a] = room[b].get(a, 0.0) + flow
-    for i in nodes:
-        label[i] = i in came
-    return label
 
 
 def main_text(page: str | None, weights: np.ndarray | None = None, s: CutSettings = CutSettings()) -> str:

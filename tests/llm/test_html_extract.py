@@ -1,4 +1,8 @@
 import itertools
+import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -27,6 +31,86 @@ def test_odd_pages():
     assert X.main_text("<article><p>1 &lt; 2 &am &amp &#233; &bogus;</p></article>") == "1 < 2 &am & é &bogus;"
 
 
+def said(page):
+    return [b.text for b in X.blocks_of(page)]
+
+
+def test_unseen_elements_end_as_the_markup_says():
+    three = "<p>one<p>two<p>three"
+    for before in ("<p hidden>x", "<svg/>", "<svg />", "<math/>", "<button>Buy", "<select><option>a<option>b", "<audio src=x>", "<div><button>x</div>", "<ul><li hidden>x</ul>", "<div><span hidden>x</div>", "<div hidden><div>x</div>y</div>", "<svg><title>t</title><path/></svg>", "<svg><g><text>x</text></g></svg>", "<button><div>x</div></button>"):
+        assert said(before + three) == ["one", "two", "three"], before
+    assert said("<ul><li hidden>x<li>y</ul>") == ["y"] and said("a<p hidden>b</p>c") == ["a", "c"]
+    assert said("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>") == ["b", "d"]
+    assert said("<object><script>var a = '</object>'</script>x</object><p>y") == ["y"] and said("<style>p</style  ><p>y") == ["y"]
+
+
+def test_attributes_and_references():
+    assert said("<p class=it's>Middle</p><p title='a>b' x=\"c>d\">End") == ["Middle", "End"]
+    assert said("AT&<b>amp;</b> T, &amp;<b>lt;</b> &l<!-- -->t;") == ["AT&amp; T, &lt; &lt;"]
+    assert said('<p class="open>x</p><p>y') == ["x", "y"] and said("1 < 2 <p>a<3") == ["1 < 2", "a<3"]
+
+
+class Plain(HTMLParser):
+    """Another reader of well-formed pages: text by blocks, unseen elements left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.now, self.unseen = [], "", 0
+
+    def cut(self):
+        if self.now.split():
+            self.found.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in X.EMPTY:
+            self.now += " " if tag == "br" else ""
+        elif self.unseen or tag in X.UNSEEN or dict(attrs).get("hidden", 0) is None:
+            self.unseen += 1
+            self.cut() if tag in X.BLOCKS else None
+        elif tag in X.BLOCKS:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if self.unseen:
+            self.unseen -= tag not in X.EMPTY
+        elif tag in X.BLOCKS:
+            self.cut()
+
+    def handle_data(self, data):
+        self.now += "" if self.unseen else data
+
+
+def test_blocks_are_those_of_another_reader():
+    r = random.Random(8)
+
+    def piece(depth):
+        kind = r.choice(["div", "section", "p", "span", "b", "svg", "button", "text", "text", "br"])
+        if kind == "text" or depth > 5:
+            return r.choice(["word ", "a &amp; b ", "&eacute;t&#233; ", " \n ", "x<y "]) if depth else ""
+        if kind == "br":
+            return "<br>"
+        inner = "".join(piece(depth + 1) for _ in range(r.randint(0, 4))) if kind not in ("p", "button", "svg") else "some words"
+        attributes = r.choice(["", " hidden", " class=it's", ' title="a > b"', " data-x='<i>'"])
+        return f"<{kind}{attributes}>{inner}</{kind}>"
+
+    for _ in range(400):
+        page = "".join(piece(0) for _ in range(4)).replace("x<y", "x&lt;y")
+        page = re.sub(r"<(span|b|svg|button) hidden", r"<\1", page)
+        other = Plain()
+        other.feed(page)
+        other.close()
+        other.cut()
+        assert said(page) == other.found, page
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    deep = "".join(f'<div class="c{i}">word {i}, ' for i in range(20_000))
+    assert len(X.blocks_of(deep)) == 20_000 and isinstance(X.main_text(deep), str)
+    assert time.process_time() - began < 20  # seconds; a quadratic reader takes minutes
+
+
 def test_blocks():
     found = X.blocks_of("<table><tr><td>a<td>b<tr><td>c</table><p>d<ul><li>e<ul><li>f</ul><li>g</ul>")
     assert [b.text for b in found] == list("abcdefg") and found[1].tag == "td" and found[5].tags >= {"ul", "li"}
