@@ -17,6 +17,9 @@ BLANK = r"[\x20\x09-\x0D]"
 #: Memory that a table sent to every executor may take there.
 BROADCAST_BYTES = 48 << 20
 
+#: Bytes of a split: a table with so many for each core has splits enough.
+SPLIT_BYTES = 128 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -68,7 +71,19 @@ def remove_stored(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in ("documents", "pages") else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, dealt out over the cores row by row: its few row groups would hold
+    up the work on texts.  Others are as they are: their splits suffice, and nothing is shuffled."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    size = sum(make(f).getFileSystem(conf).getFileStatus(make(f)).getLen() for f in files)
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
