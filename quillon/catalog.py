@@ -471,8 +471,11 @@ def _(e: Engine) -> DataFrame:
 @use("helper_columns", """SELECT o_orderkey, o_orderkey % 2 <> 0 AS odd, CASE WHEN o_custkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END ELSE CAST(o_orderkey % 2 AS DOUBLE) / (o_custkey % 3) END AS ratio,
   o_orderkey & 5 AS bits, CASE WHEN o_orderkey % 2 <> 0 THEN 'odd' ELSE 'even' END AS word, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders""")
 def _(e: Engine) -> DataFrame:
-    c, odd = scripting.COLUMNS, F.col("o_orderkey") % 2
-    made = {"odd": c["truthy"](odd), "ratio": c["divide"](odd, F.col("o_custkey") % 3), "bits": c["bit_and"](F.col("o_orderkey"), F.lit(5)), "word": c["iif"](odd, F.lit("odd"), F.lit("even")), "day": c["date_text"](F.col("o_orderdate"))}
+    c, key, odd, third = scripting.COLUMNS, F.col("o_orderkey"), F.col("o_orderkey") % 2, F.col("o_custkey") % 3
+    # the SQL's rule for null and negative keys, where the functions give false, 0, NaN or -infinity
+    by_zero, known = c["divide"](F.coalesce(F.abs(odd), F.lit(1)), third), odd.isNotNull() & third.isNotNull()
+    ratio = F.when(third == 0, by_zero).when(known, c["divide"](odd, third))
+    made = {"odd": F.when(key.isNotNull(), c["truthy"](odd)), "ratio": ratio, "bits": F.when(key.isNotNull(), c["bit_and"](key, F.lit(5))), "word": c["iif"](odd, F.lit("odd"), F.lit("even")), "day": c["date_text"](F.col("o_orderdate"))}
     return e.frame_of("orders").select("o_orderkey", *[v.alias(k) for k, v in made.items()], c["quarter"](F.col("o_orderdate")).alias("quarter"), c["last_day"](F.col("o_orderdate")).alias("month_end"))
 
 

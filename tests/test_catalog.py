@@ -59,3 +59,11 @@ def test_whole_order_is_returned(spark, sf_dir, key):
     table = "documents" if "nulls" in key else "orders"
     places = [r.place for r in catalog.QUERIES[key](spark, sf_dir).collect()]
     assert sorted(places) == list(range(1, spark.read.parquet(f"{sf_dir}/{table}.parquet").count() + 1))
+
+
+def test_helper_columns_on_odd_keys(spark, tmp_path):
+    duckdb.sql(f"""COPY (SELECT k AS o_orderkey, u AS o_custkey, d AS o_orderdate FROM (SELECT unnest([NULL, -2, -1, 0, 1, 2]::BIGINT[]) AS k), (SELECT unnest([NULL, -3, -2, -1, 0, 1, 2, 3]::BIGINT[]) AS u),
+      (SELECT unnest([NULL, TIMESTAMP '1996-02-29 23:59:59']) AS d)) TO '{tmp_path}/orders.parquet'""")
+    df, con = catalog.QUERIES["helper_columns"](spark, str(tmp_path)), duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(r) for r in con.execute(catalog.ORACLES["helper_columns"]).fetchall())
