@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -39,11 +40,17 @@ class PackSettings:
 #: Words whose ids a worker keeps; two generations of them, so memory is bounded and frequent words stay.
 KEPT_WORDS = 320_000
 LONGEST = 64  # bytes of a word that is kept
-PART_BYTES = 1 << 20  # of a text that is split into words at a time
+PART_BYTES = 2 << 20  # of texts that are split into words at a time
+CALL_WORDS = 4000  # that are tokenised in one call
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-#: Lower-case words of a-z and the accented letters from U+00DF to U+00FF.
-PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ACCENTED = bytes(c - 0x40 for c in range(0xC0, 0x100) if c not in b"\xd7\xf7")  # after C3, letters from U+00C0 to U+00FF
+#: Words of a-z, A-Z and those letters.
+PLAIN = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+LETTER, HALF, MARK = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((LETTER, LETTERS), (HALF, ACCENTED), (MARK, MARKS)):
+    KINDS[list(_bytes)] = _kind
 LAST_BLANK = re.compile(rb".*[ \t\n\x0b\x0c\r]", re.S)
 FIRST_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _tokenizers: dict[str, "WordTokenizer"] = {}
@@ -53,49 +60,112 @@ class WordTokenizer(dict):
     """Token ids by words between ASCII white space, which the tokenizer drops and never joins across; so a text's ids
     are its words' ids in their order, and a word need be tokenised but once.  The dictionary is of the words' ids.
 
-    The tokenizer lower-cases, and parts a run of marks from the letter or digit before it; so words are looked up in lower
-    case, and one with marks at its end is put together from its two parts.  Texts that may hold special tokens, which are
-    told by case, are taken word by word as they are.
+    Texts are worked on some megabytes at a time: Arrow numbers their words, each different one is looked up once, and the
+    unknown plain ones are tokenised thousands in a call.
+
+    The tokenizer lower-cases, and parts a mark from the letter or digit before it; so texts are taken in lower case and cut
+    there, too.  Texts that may hold special tokens, which are told by case, are taken as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
-        # how the model spells the bytes of letters beyond ASCII
-        self.spelled = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        # the model alone, for plain words: each is one unit, and only case and spelling are to be normalised, byte by byte
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled = np.arange(256, dtype="<u2")
+        self.spelled[65:91] += 32
+        for c in ACCENTED:
+            self.spelled[[0xC3, c]] = list(map(ord, self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c + 0x40).lower())[0][0]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a unit
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
 
     def ids(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null one is empty.  A long text is worked on in parts."""
+        group, size = [], 0
         for text in texts:
-            yield b"".join(map(self._ids_of, parts_of(text or b"")))
+            text = text or b""
+            if group and size + len(text) > PART_BYTES:
+                yield from self._ids_of(group)
+                group, size = [], 0
+            if len(text) > PART_BYTES:
+                yield b"".join(x for part in parts_of(text) for x in self._ids_of([part]))
+            else:
+                group.append(text)
+                size += len(text) + 1
+        if group:
+            yield from self._ids_of(group)
+
+    def _ids_of(self, texts: list[bytes]) -> list[bytes]:
+        split = split_words(texts)
+        words = split.flatten().dictionary_encode()
+        found = self._found(words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        at, size = words.indices.to_numpy(), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, each = np.cumsum(size) - size, size[at]
+        place = np.concatenate([[0], np.cumsum(each)])
+        take = np.repeat(begin[at] - place[:-1], each)
+        take += np.arange(place[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[take]
+        cuts = place[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that differ from each other."""
+        found, new = list(map(self.get, words)), []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            if w not in self.old and len(w) <= LONGEST and (w.isalpha() or PLAIN(w)):
+                new.append(i)
+            else:
+                found[i] = self[w]
+        for k in range(0, len(new), CALL_WORDS):
+            some = new[k : k + CALL_WORDS]
+            text = self.spelled[np.frombuffer(b" ".join([words[i] for i in some]), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts, whole = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
+            for i, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                found[i] = whole[a:b]
+                self._keep(words[i], found[i])
+        return found
 
-    def _ids_of(self, text: bytes) -> bytes:
-        words = text.split() if b"<|" in text else text.lower().split()
-        found = b"".join(map(self.__getitem__, words))
-        if len(self) > KEPT_WORDS:
+    def _keep(self, w: bytes, ids: bytes) -> None:
+        if len(self) >= KEPT_WORDS:
             self.old = dict(self)
             self.clear()
-        return found
+        self[w] = ids
 
     def __missing__(self, w: bytes) -> bytes:
         ids = self.old.get(w)
         if ids is None:
-            n = len(w.rstrip(MARKS))
-            if 0 < n < len(w) and w[n - 1] in LETTERS and b"<|" not in w:
-                ids = self[w[:n]] + self[w[n:]]
-            elif PLAIN(w):  # one unit for the tokenizer with nothing to normalise, so its model takes it, which is faster
-                ids = pack_ids([t.id for t in self.model.tokenize(w.decode().translate(self.spelled))])
-            else:
-                ids = pack_ids(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            ids = pack_ids(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
         if len(w) <= LONGEST:
-            self[w] = ids
+            self._keep(w, ids)
         return ids
 
 
+def split_words(texts: list[bytes]) -> pa.ListArray:
+    """The words of each text, some of them empty, in lower case (a-z alone) and cut before marks that follow a letter or
+    digit; both not in texts that may hold special tokens."""
+    special = [b"<|" in x for x in texts]
+    text = np.frombuffer(b" ".join([*(x if s else x.lower() for x, s in zip(texts, special, strict=True)), b""]), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+    kinds = KINDS[text]
+    for i in np.flatnonzero(special):
+        kinds[ends[i] : ends[i + 1]] = 0
+    cuts = np.flatnonzero((kinds[1:] == MARK) & (kinds[:-1] % MARK > 0)) + 1
+    cuts = cuts[(kinds[cuts - 1] == LETTER) | (text[cuts - 2] == 0xC3)]
+    whole = np.full(len(text) + len(cuts), 32, np.uint8)
+    kept = np.ones(len(whole), bool)
+    kept[cuts + np.arange(len(cuts))] = False
+    whole[kept] = text
+    ends += np.searchsorted(cuts, ends)
+    return pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(whole)))
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -49,6 +49,45 @@ def test_small_memory_changes_nothing(monkeypatch, prose):
     assert [listed(t, [x])[0] for x in texts] == plainly(texts) and len(t) + len(t.old) <= 200
 
 
+class Counted:
+    """A tokenizer or a model that counts the texts which it is given one by one."""
+
+    def __init__(self, whole, calls):
+        self.whole, self.calls = whole, calls
+
+    def encode(self, text, **options):
+        self.calls.append(text)
+        return self.whole.encode(text, **options)
+
+    def tokenize(self, text):
+        self.calls.append(text)
+        return self.whole.tokenize(text)
+
+
+def test_unknown_words_are_tokenised_together(prose):
+    texts = [f"{prose(300, i)}, ÉTÉ. Ça{prose(1, i)}é... {prose(300, i + 50)}!" for i in range(30)]
+    t, calls = P.WordTokenizer(PATH), []
+    t.model, t.tokenizer = Counted(t.tokenizer.model, calls), Counted(t.tokenizer, calls)
+    assert listed(t, texts) == plainly(texts) and len(set(" ".join(texts).split())) > 10_000
+    assert len(calls) <= 10  # marks; one for each word before
+
+
+def test_groups_with_special_tokens(monkeypatch, prose):
+    texts = [None, "", "A.", "'s a's", "<|endoftext|>A. B.", ".a", "<|b", "É,", "'s.é's", prose(40, 1), "c<|ENDOFTEXT|>.", "", "ﬁ. K, é́. x́,"]
+    for bytes_ in (5, 20, 1 << 20):
+        monkeypatch.setattr(P, "PART_BYTES", bytes_)
+        t = P.WordTokenizer(PATH)
+        for seed in range(20):
+            some = random.Random(seed).choices(texts, k=30)
+            assert listed(t, some) == plainly(some)
+
+
+def test_memory_is_bounded_within_a_group(monkeypatch, prose):
+    monkeypatch.setattr(P, "KEPT_WORDS", 50)
+    t, text = P.WordTokenizer(PATH), prose(2000, 1)
+    assert listed(t, [text, text]) == plainly([text, text]) and len(t) <= 50 and len(t.old) <= 50
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(score):
     r = np.random.default_rng(0)
